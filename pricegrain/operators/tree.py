@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import written
 
 
 def hierarchy(links: DataFrame, node: str = "id", parent: str = "parent_id", max_rounds: int = 400) -> DataFrame:
@@ -26,7 +26,7 @@ def hierarchy(links: DataFrame, node: str = "id", parent: str = "parent_id", max
     rows = rows.groupBy("id").agg(F.min("up").alias("up"))
     known = rows.select(F.col("id").alias("up"), F.lit(True).alias("known"))
     empty = F.array().cast("array<bigint>")
-    alive = cut(rows.join(known, "up", "left").select("id", F.when(F.col("known"), F.col("up")).alias("up"), empty.alias("seg")))
+    alive = written(rows.join(known, "up", "left").select("id", F.when(F.col("known"), F.col("up")).alias("up"), empty.alias("seg")))
     # roots and self-loops wait until the end
     records: list[DataFrame] = []
     finished: list[DataFrame] = []
@@ -44,7 +44,7 @@ def hierarchy(links: DataFrame, node: str = "id", parent: str = "parent_id", max
         tossed = tossed.join(above, "up", "left").withColumn("splice", F.col("splice") & F.col("up_goes").isNull())
         # a leaf waits while the node above it may go, so that within a round no record needs another
         rake = ~done & (F.col("children") == 0) & F.col("up_goes").isNull()
-        tossed = cut(tossed.withColumn("rake", rake).select("id", "up", "seg", "child", "splice", "rake"))
+        tossed = written(tossed.withColumn("rake", rake).select("id", "up", "seg", "child", "splice", "rake"))
         counts = tossed.agg(F.count_if("splice"), F.count_if("rake"), F.count_if(~done), F.count(F.lit(1))).head()
         if not counts[2]:
             finished.append(tossed.select("id", "up"))
@@ -53,7 +53,7 @@ def hierarchy(links: DataFrame, node: str = "id", parent: str = "parent_id", max
         records.append(gone)
         bridged = tossed.filter("splice").select(F.col("id").alias("up"), F.col("up").alias("above"), F.col("seg").alias("seg_above"))
         left = tossed.filter("not splice and not rake").select("id", "up", "seg").join(bridged, "up", "left")
-        alive = cut(
+        alive = written(
             left.select(
                 "id", F.coalesce("above", "up").alias("up"),
                 F.when(F.col("above").isNull(), F.col("seg")).otherwise(F.concat("seg_above", F.array("up"), "seg")).alias("seg"),
@@ -64,13 +64,13 @@ def hierarchy(links: DataFrame, node: str = "id", parent: str = "parent_id", max
     core = finished[0].select(
         "id", (F.col("up") == F.col("id")).alias("on_cycle"), F.lit(False).alias("below"), F.array("id").alias("path")
     ).withColumn("on_cycle", F.coalesce("on_cycle", F.lit(False)))
-    solved = cut(core.withColumn("path", F.when(~F.col("on_cycle"), F.col("path"))))
+    solved = written(core.withColumn("path", F.when(~F.col("on_cycle"), F.col("path"))))
     for gone in reversed(records):
         up = solved.select(F.col("id").alias("up"), F.col("on_cycle").alias("up_cycle"), F.col("below").alias("up_below"), F.col("path").alias("up_path"))
         child = solved.select(F.col("id").alias("child"), F.col("on_cycle").alias("child_cycle"))
         found = gone.join(up, "up").join(child, "child", "left")
         cycle = F.coalesce("child_cycle", F.lit(False))
-        solved = cut(
+        solved = written(
             solved.unionByName(
                 found.select(
                     "id", cycle.alias("on_cycle"), (~cycle & (F.col("up_cycle") | F.col("up_below"))).alias("below"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import atexit
 import tempfile
 import uuid
 
@@ -49,17 +49,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> DataFrame:
-    """The same rows, written as a table to the shared folder and read again (columnar and compressed)."""
-    path = os.path.join(shared_folder(df.sparkSession), f"table-{uuid.uuid4().hex}")
+    """The same rows with their lineage cut: written as a table to the shared folder and read again.
+
+    Parquet rather than checkpoint(): columnar and compressed, and without the constraints a checkpointed plan
+    keeps, which grow with every round of an iteration. The tables are removed when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if not _tables:
+        atexit.register(_remove, spark)
+    _tables.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_tables: list[str] = []
+
+
+def _remove(spark: SparkSession) -> None:
+    try:
+        jvm = spark._jvm
+        for path in _tables:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the session may be gone
+        pass
 
 
 def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
