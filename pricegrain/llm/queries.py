@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import packing, survivors, tokens
+from . import abuse, packing, survivors, tokens
 
 
 def p6_found(spark, d):
@@ -30,7 +30,23 @@ def p9_fill(spark, d):
     return packing.fill(p9_pack(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_values, p8_ids, p9_pack, p9_fill)}
+def _scored(spark, d):
+    return abuse.score_documents(table(spark, d, "documents"), table(spark, d, "moderation_labels"))
+
+
+def p10_found(spark, d):
+    return _scored(spark, d).filter("is_abusive").select("doc_id")
+
+
+def p10_scores(spark, d):
+    return _scored(spark, d)
+
+
+def p10_rates(spark, d):
+    return abuse.rates(_scored(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_values, p8_ids, p9_pack, p9_fill, p10_found, p10_scores, p10_rates)}
 
 _EAN = """regexp_full_match(trim({c}), '[0-9]{{13}}') AND NOT regexp_matches(trim({c}), '^(0{{12}}|1{{12}}|2{{12}}|3{{12}}|4{{12}}|5{{12}}|6{{12}}|7{{12}}|8{{12}}|9{{12}})')
  AND trim({c}) NOT IN ('1234567890128', '0123456789012')
