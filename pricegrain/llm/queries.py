@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import abuse, packing, survivors, tokens
+from . import abuse, matching, packing, survivors, tokens
 
 
 def p6_found(spark, d):
@@ -17,6 +17,16 @@ def p6_values(spark, d):
     return survivors.representatives(table(spark, d, "store_listings"), table(spark, d, "products"))
 
 
+def p7_found(spark, d):
+    rows = table(spark, d, "store_listings").filter("product_id is null")
+    return matching.pairs(matching.group(rows, table(spark, d, "products")))
+
+
+def p7_groups(spark, d):
+    """The item of every listing, linked or not."""
+    return matching.group(table(spark, d, "store_listings"), table(spark, d, "products")).withColumnRenamed("id", "listing_id")
+
+
 def p8_ids(spark, d):
     return tokens.encode(table(spark, d, "documents").select("doc_id", "text"))
 
@@ -46,7 +56,7 @@ def p10_rates(spark, d):
     return abuse.rates(_scored(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_values, p8_ids, p9_pack, p9_fill, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_values, p7_found, p7_groups, p8_ids, p9_pack, p9_fill, p10_found, p10_scores, p10_rates)}
 
 _EAN = """regexp_full_match(trim({c}), '[0-9]{{13}}') AND NOT regexp_matches(trim({c}), '^(0{{12}}|1{{12}}|2{{12}}|3{{12}}|4{{12}}|5{{12}}|6{{12}}|7{{12}}|8{{12}}|9{{12}})')
  AND trim({c}) NOT IN ('1234567890128', '0123456789012')
