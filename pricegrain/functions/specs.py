@@ -141,7 +141,11 @@ def specs(name: Column, given: Column | None = None) -> Column:
 
 
 def key_specs(name: Column) -> Column:
-    """The fields that two names of one product must share, in one spelling."""
+    """The fields that two names of one product must share, in one spelling; the name is computed once."""
+    return F.element_at(F.transform(F.array(name), _key_specs), 1)
+
+
+def _key_specs(name: Column) -> Column:
     tight = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
     return F.struct(
         field(name, "color").alias("color"),

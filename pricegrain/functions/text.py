@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # --- fixed values: letters, filler words, brands and header words ---
 ACCENTED = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ"
@@ -46,7 +47,7 @@ def block_key(c: Column) -> Column:
     return F.array_join(F.slice(F.split(canonical_name(c), " "), 1, 2), " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_decode(names: pd.Series) -> pd.Series:
     """All named and numeric entities; the JVM has no function for them."""
     return names.map(lambda x: None if x is None else html.unescape(x))
