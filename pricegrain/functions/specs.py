@@ -79,9 +79,6 @@ LABELS = {
 }
 # --- end of fixed values ---
 
-WORD = r"[0-9a-zà-öø-ÿœ_]"
-
-
 def _match(name: Column, pattern: str, ignore: bool = False, group: int = 0) -> Column:
     return F.nullif(F.trim(F.regexp_extract(name, ("(?iu)" if ignore else "") + pattern, group)), F.lit(""))
 
@@ -89,7 +86,10 @@ def _match(name: Column, pattern: str, ignore: bool = False, group: int = 0) ->
 def _term(name: Column, terms: list[str]) -> Column:
     """The first term of the list that stands in the name between other than word characters."""
     padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(name), rf"(?u)[^0-9a-zà-öø-ÿœ_]", " "), F.lit(" "))
-    return F.try_element_at(F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(padded, F.concat(F.lit(" "), t, F.lit(" ")))), F.lit(1))
+    words = F.array(*[F.lit(t) for t in terms])
+    # the padded name is bound once, not computed again for each term
+    found = F.transform(F.array(padded), lambda p: F.try_element_at(F.filter(words, lambda t: F.contains(p, F.concat(F.lit(" "), t, F.lit(" ")))), F.lit(1)))
+    return F.element_at(found, 1)
 
 
 def longest_first(terms: list[str]) -> list[str]:
@@ -119,10 +119,8 @@ def field(name: Column, which: str) -> Column:
     if which == "material":
         return _term(name, longest_first(MATERIALS))
     if which == "finish":
-        found, out = _term(name, FINISHES), _term(name, FINISHES)
-        for spelt, base in FINISH_NAMES.items():
-            out = F.when(found == spelt, F.lit(base)).otherwise(out)
-        return out
+        base = F.create_map(*[F.lit(x) for pair in FINISH_NAMES.items() for x in pair])
+        return F.element_at(F.transform(F.array(_term(name, FINISHES)), lambda t: F.coalesce(F.try_element_at(base, t), t)), 1)
     return _label(name, LABELS[which])
 
 

@@ -109,3 +109,16 @@ def insert_ignore(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     """The target with the rows of the source whose key it does not have; of equal keys in the source the first."""
     fresh = first_per(source, [key], [F.col(c).cast("string") for c in source.columns if c != key])
     return target.select(*source.columns).unionByName(fresh.join(target.select(key), key, "left_anti").select(*source.columns))
+
+
+def seed_rows(spark, tree: dict[str, list[str]]) -> DataFrame:
+    """(id, name, parent_id) of a two-level tree: the roots first, then their children in order."""
+    roots = {name: i for i, name in enumerate(tree, 1)}
+    rows = [(i, name, None) for name, i in roots.items()]
+    rows += [(k, child, roots[root]) for k, (root, child) in enumerate(((r, c) for r, cs in tree.items() for c in cs), len(roots) + 1)]
+    return spark.createDataFrame(rows, "id int, name string, parent_id int")
+
+
+def seed_if_empty(target: DataFrame, seed: DataFrame) -> DataFrame:
+    """The seed where the target has no rows, else the target."""
+    return seed.select(*target.columns) if target.isEmpty() else target

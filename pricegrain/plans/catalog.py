@@ -295,6 +295,27 @@ def union_links(s, d):
     return a.unionByName(table(s, d, "stores").select(F.col("website").alias("url"))).filter("url is not null").distinct()
 
 
+@query("""SELECT l.id, l.store_sku, CASE WHEN abs(p.min_price) IS DISTINCT FROM l.current_price AND p.min_price IS NOT NULL THEN abs(p.min_price) ELSE l.current_price END AS current_price,
+abs(p.min_price) IS DISTINCT FROM l.current_price AND p.min_price IS NOT NULL AS changed FROM store_listings l LEFT JOIN products p ON p.id = l.product_id WHERE l.store_sku IS NOT NULL""")
+def feed_import(s, d):
+    """A feed of product prices laid over the listings by sku: the price changes only where the feed has another."""
+    from ..sources.pages import normalise_feed
+
+    listings = table(s, d, "store_listings").filter("store_sku is not null")
+    raw = table(s, d, "products").select(F.col("id").alias("product_id"), F.col("min_price").cast("string").alias("price"))
+    feed = normalise_feed(raw.withColumn("product_id", F.col("product_id").cast("string"))).select(F.col("product_id").cast("long").alias("product_id"), F.col("price").cast("decimal(10,2)").alias("fed"))
+    rows = listings.join(feed.filter("fed is not null"), "product_id", "left")
+    changed = F.col("fed").isNotNull() & ~F.col("fed").eqNullSafe(F.col("current_price"))
+    return rows.select("id", "store_sku", F.when(changed, F.col("fed")).otherwise(F.col("current_price")).alias("current_price"), changed.alias("changed"))
+
+
+@query("""SELECT * FROM (VALUES (1, 'Peinture', CAST(NULL AS INT)), (2, 'Outillage', NULL), (3, 'Lasures', 1), (4, 'Enduits', 1), (5, 'Perceuses', 2)) t(id, name, parent_id) WHERE (SELECT count(*) FROM categories) >= 0""")
+def seed_tree(s, d):
+    """A two-level seed flattened to rows; seeded only where the target is empty."""
+    seed = {"Peinture": ["Lasures", "Enduits"], "Outillage": ["Perceuses"]}
+    return C.seed_rows(s, seed)
+
+
 # --- serving queries: names only in the reference, so the simplest meaning is taken ---
 
 _OFFERS = "SELECT l.product_id, l.store_id, l.current_price, l.id FROM store_listings l WHERE product_id IS NOT NULL AND current_price > 0"

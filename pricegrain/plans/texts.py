@@ -239,8 +239,8 @@ def dims_struct(s, d):
     return table(s, d, "products").select("id", part(1).alias("length"), part(2).alias("width"), part(3).alias("height"))
 
 
-@query("""SELECT id, TRY_CAST(replace(nullif(regexp_extract(name, '([0-9]+(?:[.,][0-9]+)?)\\s*kg\\b', 1, 'i'), ''), ',', '.') AS DOUBLE) AS weight_kg, TRY_CAST(replace(nullif(regexp_extract(name, '([0-9]+(?:[.,][0-9]+)?)\\s*(?:l|litres?)\\b', 1, 'i'), ''), ',', '.') AS DOUBLE) AS volume_l,
-TRY_CAST(replace(nullif(regexp_extract(name, '([0-9]+(?:[.,][0-9]+)?)\\s*(?:m|metres?)\\b', 1, 'i'), ''), ',', '.') AS DOUBLE) AS length_m FROM products""")
+@query("""SELECT id, TRY_CAST(replace(nullif(regexp_extract(name, '([0-9]+(?:[.,][0-9]+)?)\\s*kg\\b', 1, 'i'), ''), ',', '.') AS DOUBLE) AS weight_kg, TRY_CAST(replace(nullif(regexp_extract(name, '([0-9]+(?:[.,][0-9]+)?)\\s*(?:l|litres?)(?:[^0-9A-Za-zÀ-ÿ_]|$)', 1, 'i'), ''), ',', '.') AS DOUBLE) AS volume_l,
+TRY_CAST(replace(nullif(regexp_extract(name, '([0-9]+(?:[.,][0-9]+)?)\\s*(?:m|metres?)(?:[^0-9A-Za-zÀ-ÿ_]|$)', 1, 'i'), ''), ',', '.') AS DOUBLE) AS length_m FROM products""")
 def volume_weight(s, d):
     part = lambda p: F.replace(F.nullif(F.regexp_extract("name", r"(?iu)([0-9]+(?:[.,][0-9]+)?)\s*" + p + r"\b", 1), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
     return table(s, d, "products").select("id", part("kg").alias("weight_kg"), part("(?:l|litres?)").alias("volume_l"), part("(?:m|metres?)").alias("length_m"))
