@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .hot import find_blocks, running_last
+
 EMPTY = ["", " "]
 
 
@@ -97,11 +99,15 @@ def row_numbers(df: DataFrame, order: str, name: str, width: int = 100_000) -> D
 
 
 def as_of(observations: DataFrame, probes: DataFrame, key: str, time: str, value: str, at: str) -> DataFrame:
-    """Each probe with the last value of its key not later than its time `at`: union, then one window over both."""
+    """Each probe with the last value of its key not later than its time `at`.
+
+    Observations and probes are ordered together inside (key, block); hot keys are cut into blocks of time.
+    """
+    blocks = find_blocks(observations, key, time)
     seen = observations.select(F.col(key), F.col(time).alias("_t"), F.lit(0).alias("_kind"), F.col("id").alias("_id"), F.struct(F.col(value).alias("v")).alias("_v"), F.lit(None).cast("long").alias("probe_id"))
-    asked = probes.select(F.col(key), F.col(at).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_id"), F.lit(None).cast(seen.schema["_v"].dataType).alias("_v"), "probe_id")
-    order = Window.partitionBy(key).orderBy("_t", "_kind", "_id").rowsBetween(Window.unboundedPreceding, 0)
-    filled = seen.unionByName(asked).withColumn("_last", F.last("_v", ignorenulls=True).over(order))
+    asked = probes.select(F.col(key), F.col(at).alias("_t"), F.lit(1).alias("_kind"), F.col("probe_id").alias("_id"), F.lit(None).cast(seen.schema["_v"].dataType).alias("_v"), "probe_id")
+    both = seen.unionByName(asked).withColumn("block", blocks.block(F.col("_t"), F.col("_id")))
+    filled = running_last(both, blocks, ["_t", "_kind", "_id"], F.col("_v"), "_last")
     return filled.filter("probe_id is not null").select("probe_id", key, F.col("_t").alias(at), F.col("_last.v").alias(value))
 
 

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import join_small, written
+
 #: A key is hot from this share of the rows on, so that there can be at most 500 of them.
 HOT_SHARE = 1 / 500
 #: Rows of a hot key that one block should hold.
@@ -61,3 +63,27 @@ def find_blocks(df: DataFrame, key: str, time: str, min_rows: int = BLOCK_ROWS)
         return Blocks(key, (), 0, 1, 1)
     count = max(8, math.ceil(max(x["count"] for x in found) / BLOCK_ROWS))
     return Blocks(key, tuple(x["item"] for x in found), first, max(1, (last - first) // count + 1), count)
+
+
+def running_last(rows: DataFrame, blocks: Blocks, order: list[str], value: Column, name: str, inclusive: bool = True) -> DataFrame:
+    """Adds the last non-null `value` of the row's key up to the row (or before it), across the blocks of a hot key.
+
+    `rows` has the key, `block` and the columns of `order`. For hot keys the last value of each block is found by a
+    partial aggregate and handed on over the key's blocks, a number that is bounded.
+    """
+    frame = Window.partitionBy(blocks.key, "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = rows.withColumn("_value", value).withColumn(name, F.last("_value", ignorenulls=True).over(frame))
+    if blocks.hot:
+        hot = rows.filter(blocks.is_hot()).withColumn("_value", value)
+        ends = hot.groupBy(blocks.key, "block").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_end"))
+        over = Window.partitionBy(blocks.key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(blocks.key, "block", F.last("_end", ignorenulls=True).over(over).alias("_carried"))
+        out = join_small(out, written(carried), [blocks.key, "block"]).withColumn(name, F.coalesce(name, "_carried")).drop("_carried")
+    return out.drop("_value")
+
+
+def with_previous(df: DataFrame, key: str, time: str, tie: str, value: str, name: str, min_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Adds the value of the key's row before this one, as a struct of one field `v`; null for the first row."""
+    blocks = find_blocks(df, key, time, min_rows)
+    rows = df.withColumn("block", blocks.block(F.col(time), F.col(tie)))
+    return running_last(rows, blocks, [time, tie], F.struct(F.col(value).alias("v")), name, inclusive=False).drop("block")

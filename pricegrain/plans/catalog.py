@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import catalog as C
+from ..operators.hot import with_previous
 from ..session import table
 from .registry import Registry
 
@@ -210,16 +211,14 @@ _SEEN = "SELECT * FROM price_history WHERE scraped_at IS NOT NULL"
 
 @query(f"SELECT listing_id, id, price, before FROM (SELECT *, lag(price) OVER (PARTITION BY listing_id ORDER BY scraped_at, id) AS before FROM ({_SEEN})) WHERE before IS DISTINCT FROM price")
 def price_changes(s, d):
-    order = Window.partitionBy("listing_id").orderBy("scraped_at", "id")
-    rows = table(s, d, "price_history").filter("scraped_at is not null").withColumn("before", F.lag("price").over(order))
-    return rows.filter("before is distinct from price").select("listing_id", "id", "price", "before")
+    rows = with_previous(table(s, d, "price_history").filter("scraped_at is not null"), "listing_id", "scraped_at", "id", "price", "last")
+    return rows.filter("last.v is distinct from price").select("listing_id", "id", "price", F.col("last.v").alias("before"))
 
 
 @query(f"""SELECT listing_id, id, before - price AS drop FROM (SELECT *, lag(price) OVER (PARTITION BY listing_id ORDER BY scraped_at, id) AS before FROM ({_SEEN})) WHERE price > 0 AND price < before""")
 def price_drop(s, d):
-    order = Window.partitionBy("listing_id").orderBy("scraped_at", "id")
-    rows = table(s, d, "price_history").filter("scraped_at is not null").withColumn("before", F.lag("price").over(order))
-    return rows.filter("price > 0 and price < before").select("listing_id", "id", (F.col("before") - F.col("price")).alias("drop"))
+    rows = with_previous(table(s, d, "price_history").filter("scraped_at is not null"), "listing_id", "scraped_at", "id", "price", "last")
+    return rows.filter("price > 0 and price < last.v").select("listing_id", "id", (F.col("last.v") - F.col("price")).alias("drop"))
 
 
 @query(f"SELECT listing_id, CAST(scraped_at AS DATE) AS day, arg_min(id, (scraped_at, id)) AS id FROM ({_SEEN}) GROUP BY 1, 2")

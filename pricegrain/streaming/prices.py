@@ -6,11 +6,12 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..session import shared_folder
+from ..operators.hot import find_blocks, running_last
+from ..session import shared_folder, written
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The events table as a stream of files."""
@@ -56,23 +57,20 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out").select(*stream.columns)
 
 
-def accepted(history: DataFrame, hours: int = 12) -> DataFrame:
+def accepted(history: DataFrame, hours: int = 12, hot_rows: int = 50_000) -> DataFrame:
     """listing_id, id of rows accepted when one within `hours` after the last accepted row of its listing is skipped.
 
-    A fold over each listing's rows in order of time. A row that comes at least `hours` after the one before it is
-    accepted whatever was before, so listings are cut there into bursts, which are folded apart from each other:
-    a long listing is spread over its bursts.
+    A row that comes at least `hours` after the one before it is accepted whatever was before, so a listing's rows
+    are cut there into bursts, which are folded apart from each other; a hot listing is spread over its bursts and,
+    to find them, over blocks of time.
     """
     span = hours * 3_600_000_000
-    rows = history.filter("scraped_at is not null and listing_id is not null").select("listing_id", "id", F.unix_micros("scraped_at").alias("t"), F.floor(F.unix_micros("scraped_at") / (90 * 86_400_000_000)).alias("quarter"))
-    # gaps inside a quarter of a year; a quarter's first row is checked against the quarter before by its last row
-    order = Window.partitionBy("listing_id", "quarter").orderBy("t", "id")
-    ends = rows.groupBy("listing_id", "quarter").agg(F.max("t").alias("end"))
-    before = ends.withColumn("before", F.lag("end").over(Window.partitionBy("listing_id").orderBy("quarter"))).select("listing_id", "quarter", "before")
-    gaps = rows.join(before, ["listing_id", "quarter"]).withColumn("last", F.coalesce(F.lag("t").over(order), "before"))
+    rows = history.filter("scraped_at is not null and listing_id is not null").select("listing_id", "id", "scraped_at")
+    blocks = find_blocks(rows, "listing_id", "scraped_at", hot_rows)
+    rows = rows.withColumn("block", blocks.block(F.col("scraped_at"), F.col("id"))).withColumn("t", F.unix_micros("scraped_at"))
+    gaps = written(running_last(rows, blocks, ["t", "id"], F.col("t"), "last", inclusive=False))
     starts = F.when(F.col("last").isNull() | (F.col("t") - F.col("last") >= span), F.struct("t", "id"))
-    whole = Window.partitionBy("listing_id").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
-    bursts = gaps.withColumn("burst", F.last(starts, ignorenulls=True).over(whole))
+    bursts = running_last(gaps, blocks, ["t", "id"], starts, "burst")
     folded = bursts.groupBy("listing_id", "burst").agg(F.sort_array(F.collect_list(F.struct("t", "id"))).alias("rows"))
     fold = F.reduce(
         "rows", F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("ids")),
