@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,20 +82,21 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _named(df: DataFrame, name: str, as_id: str) -> DataFrame:
+    """Rows with canonical name and block: the first word and all figures of the name, whatever their order."""
     canon = T.canonical_name(F.col(name))
-    return df.select(F.col("id").alias(as_id), canon.alias("canon"), F.col(name).alias("name")).withColumn("word", F.split("canon", " ")[0])
+    figures = F.array_sort(F.transform(F.regexp_extract_all("canon", F.lit("[0-9]+(?:[.,][0-9]+)?"), 0), lambda n: F.replace(n, F.lit(","), F.lit("."))))
+    rows = df.select(F.col("id").alias(as_id), canon.alias("canon"), F.col(name).alias("name"))
+    return rows.withColumn("block", F.concat_ws("|", F.split("canon", " ")[0], figures))
 
 
 def candidates(listings: DataFrame, products: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(listing_id, product_id, score) of unlinked listings and products with the same brand words or first word.
+    """(listing_id, product_id, score) of unlinked listings and products with the same first word and figures.
 
-    The block is the pair (first word, first figure of the name): names of one block alone are compared, and of
-    them only those whose lengths can reach the threshold and whose key fields agree. Distinct names are scored
-    once. Names without a word meet none.
+    Names of one block alone are compared, and of them only those whose lengths can reach the threshold and whose
+    key fields agree. Distinct names are scored once; null names meet none.
     """
-    figure = F.regexp_extract("canon", "[0-9]+", 0)
-    left = _named(listings.filter("product_id is null and store_product_name is not null"), "store_product_name", "listing_id").withColumn("block", F.concat_ws("|", "word", figure))
-    right = _named(products.filter("name is not null"), "name", "product_id").withColumn("block", F.concat_ws("|", "word", figure))
+    left = _named(listings.filter("product_id is null and store_product_name is not null"), "store_product_name", "listing_id")
+    right = _named(products.filter("name is not null"), "name", "product_id")
     a = left.select("block", F.col("canon").alias("a"), "name").groupBy("block", "a").agg(F.min("name").alias("name_a")).withColumn("sa", S.key_specs(F.col("name_a")))
     b = right.select("block", F.col("canon").alias("b"), "name").groupBy("block", "b").agg(F.min("name").alias("name_b")).withColumn("sb", S.key_specs(F.col("name_b")))
     la, lb = F.length("a"), F.length("b")
@@ -103,37 +106,45 @@ def candidates(listings: DataFrame, products: DataFrame, threshold: float = THRE
 
 
 def greedy(listings: DataFrame, products: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(listing_id, product_id, made) by ascending listing id inside each block of first word and first figure.
+    """(listing_id, product_id, made) by ascending listing id inside each block of first word and figures.
 
     A listing that meets no product makes one, named after the listing (made true, product_id the listing's id
     negated), which later listings of the block can meet. Blocks are independent; of equal names only the first
     is scored, the others follow it.
     """
-    figure = F.regexp_extract("canon", "[0-9]+", 0)
-    left = _named(listings.filter("product_id is null and store_product_name is not null"), "store_product_name", "id_").withColumn("block", F.concat_ws("|", "word", figure))
-    right = _named(products.filter("name is not null"), "name", "id_").withColumn("block", F.concat_ws("|", "word", figure))
+    left = _named(listings.filter("product_id is null and store_product_name is not null"), "store_product_name", "id_")
+    right = _named(products.filter("name is not null"), "name", "id_")
     pieces = lambda df, n: df.groupBy("block", "canon").agg(F.min("id_").alias("id_"), F.min("name").alias("name")).select("block", "canon", "id_", S.key_specs(F.col("name")).alias("k"), F.lit(n).alias("kind"))
     rows = pieces(left, 1).unionByName(pieces(right, 0)).select("block", "canon", "id_", "kind", F.array("k.color", "k.volume", "k.dimensions", "k.weight", "k.finish", "k.power", "k.pack").alias("keys"))
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        known = [(r.id_, r.canon, tuple(r.keys_), " ".join(sorted(r.canon.split()))) for r in block[block["kind"] == 0].rename(columns={"keys": "keys_"}).itertuples()]
-        out = []
-        for r in block[block["kind"] == 1].sort_values("id_").rename(columns={"keys": "keys_"}).itertuples():
-            keys, mine = tuple(r.keys_), " ".join(sorted(r.canon.split()))
-            best, of = threshold, None
-            for pid, _, theirs, text in known:
-                if 200.0 * min(len(mine), len(text)) < best * (len(mine) + len(text)) or any(x is not None and y is not None and x != y for x, y in zip(keys, theirs, strict=True)):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, known = None, []
+        for batch in batches:
+            out = []
+            for block, canon, own, kind, keys in zip(*(batch[c].tolist() for c in ("block", "canon", "id_", "kind", "keys")), strict=True):
+                if block != current:
+                    current, known = block, []
+                mine = " ".join(sorted(canon.split()))
+                if kind == 0:
+                    known.append((own, keys, mine))
                     continue
-                value = 200.0 * _lcs(mine, text) / max(1, len(mine) + len(text))
-                if value > best or value == best and (of is None or pid < of):
-                    best, of = value, pid
-            if of is None:
-                of = -r.id_
-                known.append((of, r.canon, keys, mine))
-            out.append((r.block, r.canon, of, of < 0))
-        return pd.DataFrame(out, columns=["block", "canon", "product_id", "made"])
-
-    linked = rows.groupBy("block").applyInPandas(run, "block string, canon string, product_id long, made boolean")
+                best, of = threshold, None
+                for pid, theirs, text in known:
+                    if 200.0 * min(len(mine), len(text)) < best * (len(mine) + len(text)) or any(x is not None and y is not None and x != y for x, y in zip(keys, theirs, strict=True)):
+                        continue
+                    value = 200.0 * _lcs(mine, text) / max(1, len(mine) + len(text))
+                    if value > best or value == best and (of is None or pid < of):
+                        best, of = value, pid
+                if of is None:
+                    of = -own
+                    known.append((of, keys, mine))
+                out.append((block, canon, of, of < 0))
+            yield pd.DataFrame(out, columns=["block", "canon", "product_id", "made"])
+
+    # blocks are read one after the other in a sorted partition: products first, then listings by id
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartition(tasks, "block").sortWithinPartitions("block", "kind", "id_")
+    linked = ordered.mapInPandas(run, "block string, canon string, product_id long, made boolean")
     return left.join(linked, ["block", "canon"]).select(F.col("id_").alias("listing_id"), "product_id", "made")
 
 

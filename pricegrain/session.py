@@ -77,6 +77,15 @@ def _remove(spark: SparkSession) -> None:
         pass
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over at least as many partitions as there are cores, for costly work on each row.
+
+    Input that is split enough already, as any large table is, is not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def join_small(df: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join a table expected to be small: broadcast after its rows were counted, else an ordinary join.
 
