@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # --- fixed values: letters that look alike, and figures and signs written for letters ---
 ALIKE = str.maketrans("аеорсухівкмнтԁһјӏѕԛԝɡοαειυνρτκχß", "aeopcyxibkmhtdhjlsqwgoaeiuvptkxs")
 LEET = str.maketrans("4310578$@€", "aeiostbsae")
@@ -37,21 +39,29 @@ def normalise(text: str) -> str:
     return regex.sub(r"[^\p{L}0]+", " ", text).strip()
 
 
-#: Words of a window, and from one window to the next inside a long sentence.
-WORDS, STEP = 12, 6
+#: Words of a window, and from one window to the next inside a sentence longer than the first number and the half of it.
+WORDS, STEP = 8, 4
+_FIGURE = regex.compile(r"(?<![\p{L}$@€\d.,])\d+(?:[.,]\d+)*(?![\p{L}$@€\d])")
+
+
+@functools.lru_cache(maxsize=200_000)
+def _of_sentence(sentence: str) -> tuple[str, ...]:
+    words = normalise(sentence).split()
+    if len(words) <= WORDS + STEP // 2:
+        return (" ".join(words),) if words else ()
+    return tuple(" ".join(words[i : i + WORDS]) for i in range(0, len(words) - WORDS + STEP, STEP))
 
 
 def windows(text: str) -> list[str]:
-    """Normalised windows of a whole text: its sentences, long ones in overlapping stretches of WORDS words."""
-    out = []
+    """Normalised windows of a whole text: its sentences, long ones in overlapping stretches of WORDS words.
+
+    Sentences that differ in their figures only are normalised once.
+    """
+    out: list[str] = []
     for sentence in _BREAK.split(text):
         if sentence and not sentence.isspace():
-            words = normalise(sentence).split()
-            if len(words) <= WORDS + STEP:
-                out.append(" ".join(words))
-            else:
-                out += [" ".join(words[i : i + WORDS]) for i in range(0, len(words) - STEP, STEP)]
-    return [w for w in out if w]
+            out += _of_sentence(_FIGURE.sub("0", sentence))
+    return out
 
 
 @dataclass(frozen=True)
@@ -64,6 +74,7 @@ class AbuseRules:
     level: int = 19
     rounds: int = 3
     margin: float = 0.15  # least score of a toxic window in training
+    flat: float = 0.005  # F1 that may be given up for a higher threshold
     cautious: float = 0.45  # threshold where fewer than ten abusive texts are held out to calibrate it
 
 
@@ -122,8 +133,8 @@ def fit(texts: list[str], abusive: list[bool], rules: AbuseRules = AbuseRules())
     (log odds over documents, by words with enough support), as ordinary if it is from another text and its words
     do not lean. In each round both dictionaries are trained; windows of abusive texts whose words lean and that
     the toxic one shortens more join it, and those it no longer shortens leave; windows of other texts that it
-    shortens more are misjudged and leave the ordinary one. The threshold is the one with the best F1 over documents on
-    a held-out third, before the last training on all.
+    shortens more are misjudged and leave the ordinary one. The threshold is the highest
+    one with nearly the best F1 over documents on a held-out third, before the last training on all.
     """
     split = [windows(t) for t in texts]
 
@@ -172,13 +183,14 @@ def fit(texts: list[str], abusive: list[bool], rules: AbuseRules = AbuseRules())
     if sum(abusive[i] for i in held) >= 10:
         score = scorer(train([i for i in order if i % 3]))
         top = sorted(((max((score(w) for w in split[i]), default=-1.0), abusive[i]) for i in held), reverse=True)
-        total, hit, best = sum(abusive[i] for i in held), 0, (-1.0, threshold)
+        total, hit, cuts = sum(abusive[i] for i in held), 0, []
         for k, (s, bad) in enumerate(top, 1):
             hit += bad
             following = top[k][0] if k < len(top) else s
             if s != following or k == len(top):
-                best = max(best, (2 * hit / (k + total), (s + following) / 2))
-        threshold = best[1]
+                cuts.append((2 * hit / (k + total), (s + following) / 2))
+        # F1 is flat around its best: the highest cut there leaves most room above ordinary text
+        threshold = max(cut for f1, cut in cuts if f1 >= max(cuts)[0] - rules.flat)
     model = train(order)
     model.threshold = threshold
     return model
@@ -211,7 +223,7 @@ def score_documents(documents: DataFrame, labels: DataFrame, rules: AbuseRules =
             frame["is_abusive"] = [b[0] is not None and bool(model.toxic) and b[0] > model.threshold for b in best]
             yield frame
 
-    rows = documents.select("doc_id", "source", "text")
+    rows = spread(documents.select("doc_id", "source", "text"))
     return rows.mapInPandas(score, "doc_id long, source string, score double, window string, is_abusive boolean")
 
 

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Folder of the public vocabulary files, and the vocabulary of the production query.
 FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -84,7 +86,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str =
     letters longer than the overlap) is encoded whole. Special strings in a text are ordinary text. Keys are
     expected to be unique; other columns are not touched.
     """
-    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    rows = spread(df.select(F.col(key).alias("_key"), F.col(text).alias("_text")))
     kind = rows.schema["_key"].dataType.simpleString()
     long = F.coalesce(F.length("_text") > chunk, F.lit(False))
 
