@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions import specs as S
 from ..functions import text as T
+from ..session import written
 
 THRESHOLD = 85.0
 
@@ -81,71 +83,183 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+KEYS = ("color", "volume", "dimensions", "weight", "finish", "power", "pack")
+NODES_A_SIDE = 4_000  # of one block compared at once; larger blocks are cut into pieces, each against each
+
+
 def _named(df: DataFrame, name: str, as_id: str) -> DataFrame:
-    """Rows with canonical name and block: the first word and all figures of the name, whatever their order."""
-    canon = T.canonical_name(F.col(name))
-    figures = F.array_sort(F.transform(F.regexp_extract_all("canon", F.lit("[0-9]+(?:[.,][0-9]+)?"), 0), lambda n: F.replace(n, F.lit(","), F.lit("."))))
-    rows = df.select(F.col("id").alias(as_id), canon.alias("canon"), F.col(name).alias("name"))
-    return rows.withColumn("block", F.concat_ws("|", F.split("canon", " ")[0], figures))
+    """Rows with canonical name and key fields in one text (an empty part for none); null names are left out."""
+    k = S.key_specs(F.col(name))
+    rows = df.filter(F.col(name).isNotNull()).select(F.col("id").alias(as_id), T.canonical_name(F.col(name)).alias("canon"), k.alias("k"))
+    return rows.select(as_id, "canon", F.concat_ws("\x1f", *[F.coalesce(F.col(f"k.{x}"), F.lit("")) for x in KEYS]).alias("keys"))
+
+
+def _letters(texts: list[str], points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lengths, numbers of the letters padded with len(points), counts of each letter) of texts."""
+    size = np.array([len(t) for t in texts])
+    at = np.searchsorted(points, np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4"))
+    padded = np.full((len(texts), int(size.max())), len(points), dtype=np.int64)
+    padded[np.arange(padded.shape[1]) < size[:, None]] = at
+    counts = np.bincount(np.repeat(np.arange(len(texts)), size) * len(points) + at, minlength=len(texts) * len(points))
+    return size, padded, counts.reshape(len(texts), len(points))
+
+
+def _lcs_pairs(where: np.ndarray, i: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """`_lcs` of many pairs at once: bit rows of 64-bit words with carry; `where` is [name, letter, word]."""
+    words = where.shape[2]
+    full = np.uint64(2**64 - 1)
+    row = np.full((words, len(i)), full)
+    for t in range(y.shape[1]):
+        at, carry = where[i, y[:, t]], None
+        for w in range(words):
+            kept = row[w] & at[:, w]
+            total = row[w] + kept
+            over = total < kept
+            if carry is not None:
+                total += carry
+                over |= total < carry
+            row[w] = total | (row[w] & ~at[:, w])
+            carry = over.astype(np.uint64)
+    left = np.clip(size[i][None, :] - 64 * np.arange(words)[:, None], 0, 64)
+    used = np.where(left == 64, full, (np.uint64(1) << (left % 64).astype(np.uint64)) - np.uint64(1))
+    return np.bitwise_count(~row & used).sum(axis=0).astype(np.int64)
+
+
+def similar(a: list[tuple[str, str]], b: list[tuple[str, str]], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, score) of all pairs of (canonical name, key fields) that are compatible and score `threshold` or more.
+
+    The letters two names share, each counted, bound their common subsequence: a product of 0/1 matrices gives the
+    bound of all pairs, and only pairs that can reach the threshold are scored. No pair is lost.
+    """
+    names = [[" ".join(sorted(n.split())) for n, _ in side] for side in (a, b)]
+    points = np.unique(np.frombuffer("".join(names[0] + names[1]).encode("utf-32-le"), dtype="<u4"))
+    (la, xa, ca), (lb, xb, cb) = (_letters(n, points) for n in names)
+    cap = np.minimum(ca.max(axis=0), cb.max(axis=0))
+    letter = np.repeat(np.arange(len(points)), cap)
+    nth = np.arange(len(letter)) - np.repeat(np.cumsum(cap) - cap, cap)
+    ua, ub = ((c[:, letter] > nth).astype(np.float32) for c in (ca, cb))
+    known: dict[str, int] = {"": 0}
+    ka, kb = (np.array([[known.setdefault(x, len(known)) for x in k.split("\x1f")] for _, k in side]) for side in (a, b))
+    out = []
+    for start in range(0, len(a), 256):
+        part = slice(start, start + 256)
+        bound = ua[part] @ ub.T
+        i, j = np.nonzero(200.0 * bound >= threshold * (la[part][:, None] + lb[None, :]))
+        x, y = ka[part][i], kb[j]
+        fits = ((x == y) | (x == 0) | (y == 0)).all(axis=1)
+        i, j = i[fits], j[fits]
+        words = -(-int(la[part].max()) // 64)
+        where = np.zeros((len(la[part]), len(points) + 1, words), dtype=np.uint64)
+        for t in range(int(la[part].max())):
+            where[np.arange(len(where)), xa[part][:, t], t // 64] |= np.uint64(1 << t % 64)
+        where[:, len(points)] = 0
+        for at in range(0, len(i), 100_000):
+            p, q = i[at : at + 100_000], j[at : at + 100_000]
+            value = 200.0 * _lcs_pairs(where, p, xb[q][:, : int(lb[q].max())], la[part]) / (la[part][p] + lb[q])
+            good = value >= threshold
+            out.append((p[good] + start, q[good], value[good]))
+    empty = np.zeros(0, dtype=np.int64)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (empty, empty, empty.astype(float))
+
+
+def edges(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, score) of nodes (node, canon, keys): all pairs where the right first word starts with the left one.
+
+    A right node meets the block of each prefix of its first word that is the first word of a left node. Blocks are
+    cut into pieces of a bounded number of nodes, each left piece against each right one. Empty names meet none.
+    """
+    word = F.split("canon", " ")[0]
+    a = left.filter("canon != ''").select("node", "canon", "keys", word.alias("block"))
+    prefixes = F.transform(F.sequence(F.lit(1), F.length(word)), lambda n: F.substring(word, F.lit(1), n))
+    b = right.filter("canon != ''").select("node", "canon", "keys", F.explode(prefixes).alias("block"))
+    parts = lambda df, n: df.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / NODES_A_SIDE).cast("int").alias(n))
+    sizes = parts(a, "of_a").join(parts(b, "of_b"), "block")
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = a.join(sizes, "block").select("block", own(F.col("of_a")).alias("i"), each("of_b").alias("j"), F.lit(0).alias("side"), "node", "canon", "keys")
+    b = b.join(sizes, "block").select("block", each("of_a").alias("i"), own(F.col("of_b")).alias("j"), F.lit(1).alias("side"), "node", "canon", "keys")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def compared() -> pd.DataFrame:
+            (ids, x), (others, y) = (([r[0] for r in side], [r[1:] for r in side]) for side in sides)
+            i, j, value = similar(x, y, threshold)
+            return pd.DataFrame({"a": np.array(ids, dtype=np.int64)[i], "b": np.array(others, dtype=np.int64)[j], "score": value})
+
+        current, sides = None, ([], [])
+        for batch in batches:
+            for block, i, j, side, *row in zip(*(batch[c].tolist() for c in ("block", "i", "j", "side", "node", "canon", "keys")), strict=True):
+                if (block, i, j) != current:
+                    if sides[0] and sides[1]:
+                        yield compared()
+                    current, sides = (block, i, j), ([], [])
+                sides[side].append(tuple(row))
+        if sides[0] and sides[1]:
+            yield compared()
+
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = a.unionByName(b).repartition(tasks, "block", "i", "j").sortWithinPartitions("block", "i", "j")
+    return rows.mapInPandas(run, "a long, b long, score double")
+
+
+def _nodes(rows: DataFrame, as_id: str) -> DataFrame:
+    """Rows of one canonical name and the same key fields are one node, with its first and last id."""
+    return rows.groupBy("canon", "keys").agg(F.min(as_id).alias("node"), F.max(as_id).alias("last"))
 
 
 def candidates(listings: DataFrame, products: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(listing_id, product_id, score) of unlinked listings and products with the same first word and figures.
+    """(listing_id, product_id, score) of unlinked listings and products whose first word starts with the listing's.
 
-    Names of one block alone are compared, and of them only those whose lengths can reach the threshold and whose
-    key fields agree. Distinct names are scored once; null names meet none.
+    Pairs whose key fields agree and that score `threshold` or more; null and empty names meet none.
     """
-    left = _named(listings.filter("product_id is null and store_product_name is not null"), "store_product_name", "listing_id")
-    right = _named(products.filter("name is not null"), "name", "product_id")
-    a = left.select("block", F.col("canon").alias("a"), "name").groupBy("block", "a").agg(F.min("name").alias("name_a")).withColumn("sa", S.key_specs(F.col("name_a")))
-    b = right.select("block", F.col("canon").alias("b"), "name").groupBy("block", "b").agg(F.min("name").alias("name_b")).withColumn("sb", S.key_specs(F.col("name_b")))
-    la, lb = F.length("a"), F.length("b")
-    near = (F.lit(200.0) * F.least(la, lb) >= F.lit(threshold) * (la + lb)) & S.compatible(F.col("sa"), F.col("sb"))
-    scored = a.join(b, "block").filter(near).select("a", "b").withColumn("score", F.round(ratio("a", "b"), 6)).filter(F.col("score") >= threshold)
-    return left.select("listing_id", F.col("canon").alias("a")).join(scored, "a").join(right.select("product_id", F.col("canon").alias("b")), "b").select("listing_id", "product_id", "score")
+    left = written(_named(listings.filter("product_id is null"), "store_product_name", "listing_id"))
+    right = written(_named(products, "name", "product_id"))
+    a, b = written(_nodes(left, "listing_id")), written(_nodes(right, "product_id"))
+    found = edges(a, b, threshold).select(F.col("a").alias("node_a"), F.col("b").alias("node_b"), F.round("score", 6).alias("score"))
+    lefts = left.join(a.select("canon", "keys", F.col("node").alias("node_a")), ["canon", "keys"]).select("listing_id", "node_a")
+    rights = right.join(b.select("canon", "keys", F.col("node").alias("node_b")), ["canon", "keys"]).select("product_id", "node_b")
+    return lefts.join(found, "node_a").join(rights, "node_b").select("listing_id", "product_id", "score")
 
 
-def greedy(listings: DataFrame, products: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(listing_id, product_id, made) by ascending listing id inside each block of first word and figures.
+def _makers(nodes: DataFrame, sees: DataFrame) -> DataFrame:
+    """(node) of the nodes that make a product: those that see no earlier one that makes one.
 
-    A listing that meets no product makes one, named after the listing (made true, product_id the listing's id
-    negated), which later listings of the block can meet. Blocks are independent; of equal names only the first
-    is scored, the others follow it.
+    `sees` is (a, b), b an earlier node than a. In a round the nodes that see none left make one, those that see
+    a maker make none; the first node left is always settled, so the rounds end.
     """
-    left = _named(listings.filter("product_id is null and store_product_name is not null"), "store_product_name", "id_")
-    right = _named(products.filter("name is not null"), "name", "id_")
-    pieces = lambda df, n: df.groupBy("block", "canon").agg(F.min("id_").alias("id_"), F.min("name").alias("name")).select("block", "canon", "id_", S.key_specs(F.col("name")).alias("k"), F.lit(n).alias("kind"))
-    rows = pieces(left, 1).unionByName(pieces(right, 0)).select("block", "canon", "id_", "kind", F.array("k.color", "k.volume", "k.dimensions", "k.weight", "k.finish", "k.power", "k.pack").alias("keys"))
+    making = written(nodes.select("node").join(sees.select(F.col("a").alias("node")), "node", "left_anti"))
+    made, left = making, sees
+    while True:
+        none = written(left.join(making.select(F.col("node").alias("b")), "b", "left_semi").select(F.col("a").alias("node")).distinct())
+        kept = written(left.join(none.select(F.col("node").alias("a")), "a", "left_anti").join(none.select(F.col("node").alias("b")), "b", "left_anti"))
+        making = written(left.select(F.col("a").alias("node")).distinct().join(none, "node", "left_anti").join(kept.select(F.col("a").alias("node")), "node", "left_anti"))
+        made, left = made.unionByName(making), kept
+        if left.isEmpty():
+            return made
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, known = None, []
-        for batch in batches:
-            out = []
-            for block, canon, own, kind, keys in zip(*(batch[c].tolist() for c in ("block", "canon", "id_", "kind", "keys")), strict=True):
-                if block != current:
-                    current, known = block, []
-                mine = " ".join(sorted(canon.split()))
-                if kind == 0:
-                    known.append((own, keys, mine))
-                    continue
-                best, of = threshold, None
-                for pid, theirs, text in known:
-                    if 200.0 * min(len(mine), len(text)) < best * (len(mine) + len(text)) or any(x is not None and y is not None and x != y for x, y in zip(keys, theirs, strict=True)):
-                        continue
-                    value = 200.0 * _lcs(mine, text) / max(1, len(mine) + len(text))
-                    if value > best or value == best and (of is None or pid < of):
-                        best, of = value, pid
-                if of is None:
-                    of = -own
-                    known.append((of, keys, mine))
-                out.append((block, canon, of, of < 0))
-            yield pd.DataFrame(out, columns=["block", "canon", "product_id", "made"])
-
-    # blocks are read one after the other in a sorted partition: products first, then listings by id
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartition(tasks, "block").sortWithinPartitions("block", "kind", "id_")
-    linked = ordered.mapInPandas(run, "block string, canon string, product_id long, made boolean")
-    return left.join(linked, ["block", "canon"]).select(F.col("id_").alias("listing_id"), "product_id", "made")
+
+def greedy(listings: DataFrame, products: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(listing_id, product_id, made) as if unlinked listings were taken one after the other by ascending id.
+
+    A listing takes the best of the products whose first word starts with its own: the highest score of `threshold`
+    or more, at equal scores the smallest id, products made here last. A listing that meets none makes one (made
+    true, product_id the listing's id negated), which later listings can meet. All pairs are found first; a name
+    makes a product if no product and no earlier maker is near, and then each listing takes its best. Listings
+    with an empty name score nothing and make one each; null names are left out.
+    """
+    left = written(_named(listings.filter("product_id is null"), "store_product_name", "listing_id"))
+    nodes = written(_nodes(left, "listing_id"))
+    given = written(edges(nodes, written(_nodes(_named(products, "name", "product_id"), "product_id")), threshold))
+    free = written(nodes.filter("canon != ''").join(given.select(F.col("a").alias("node")), "node", "left_anti"))
+    among = written(edges(nodes, free, threshold).filter("a != b"))
+    made = written(_makers(free, among.filter("b < a").join(free.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b")))
+    best = given.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("score", F.lit(1).alias("old"), (-F.col("b")).alias("minus"))).alias("choice"))
+    taken = among.join(made.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b", "score").unionByName(made.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(100.0).alias("score")))
+    later = taken.select(F.col("a").alias("node"), F.struct("score", F.lit(0).alias("old"), (-F.col("b")).alias("minus")).alias("choice"))
+    rows = written(left.join(nodes.select("canon", "keys", "node"), ["canon", "keys"]).select("listing_id", "node"))
+    choices = rows.join(best.unionByName(later), "node").filter((F.col("choice.old") == 1) | (-F.col("choice.minus") < F.col("listing_id")))
+    chosen = choices.groupBy("listing_id").agg(F.max("choice").alias("choice"))
+    product = F.when(F.col("choice.old") == 1, -F.col("choice.minus")).otherwise(F.coalesce(F.col("choice.minus"), -F.col("listing_id")))
+    return rows.join(chosen, "listing_id", "left").select("listing_id", product.alias("product_id")).withColumn("made", F.col("product_id") < 0)
 
 
 def incompatible(listings: DataFrame, products: DataFrame) -> DataFrame:

@@ -56,6 +56,39 @@ def test_specs(spark):
     assert [r.c for r in pair.select(specs.compatible(specs.key_specs(F.col("a")), specs.key_specs(F.col("b"))).alias("c")).collect()] == [False, True]
 
 
+def test_linkage_by_name_is_whole(spark):
+    rng = random.Random(8)
+    words, ends = ["vis", "visseuse", "Perceuse", "per", "20", "peinture"], ["4Ah", "4.0 Ah", "axe 50", "axe 40", "par 5", "blanc", "noir", "2,5 L", "2.5 l", "lot de 10", "5x40", "mat"]
+
+    def some():
+        parts = [rng.choice(["zolmar bois inox", "zolmar bois laiton", "ostrane murale"]), *rng.sample(ends, 2)]
+        rng.shuffle(parts)
+        return " ".join([rng.choice(words), *parts, "garantie deux ans france" * rng.randrange(2)])
+
+    products = [(i, some()) for i in range(1, 90)] + [(90, None), (91, ""), (92, "!!"), (93, "visseuse sans fil 18V 4Ah"), (94, "serrure encastrer axe 50")]
+    listings = [(i, None, some()) for i in range(1, 260)] + [(301, None, "visseuse sans fil 18V 4.0 Ah"), (302, None, "serrure encastrer axe 40"), (303, None, ""), (304, None, "de la"), (305, None, None), (306, 1, "vis"), (307, None, "serrure " + "a" * 150), (308, None, "serrure " + "a" * 148 + "b")]
+    rng.shuffle(listings)
+    pdf, ldf = spark.createDataFrame(products, "id long, name string"), spark.createDataFrame(listings, "id long, product_id long, store_product_name string")
+    shape = lambda df, c: {r.id: (r.c, tuple(r.k)) for r in df.filter(f"{c} is not null").select("id", text.canonical_name(F.col(c)).alias("c"), specs.key_specs(F.col(c)).alias("k")).collect()}
+    known, mine = shape(pdf, "name"), shape(ldf.filter("product_id is null"), "store_product_name")
+
+    def near(a, b):
+        if not a[0] or not b[0] or not b[0].split()[0].startswith(a[0].split()[0]) or any(x and y and x != y for x, y in zip(a[1], b[1], strict=True)):
+            return 0
+        return linkage.score(a[0], b[0])
+
+    pairs = {(i, p): round(near(a, b), 6) for i, a in mine.items() for p, b in known.items() if near(a, b) >= 85}
+    assert {(r.listing_id, r.product_id): r.score for r in linkage.candidates(ldf, pdf).collect()} == pairs and {(301, 93), (302, 94)} <= set(pairs)
+    want, after = {}, list(known.items())
+    for i in sorted(mine):
+        value, _, of = max(((near(mine[i], b), -n, p) for n, (p, b) in enumerate(after)), default=(0, 0, 0))
+        want[i] = of if value >= 85 else -i
+        if value < 85:
+            after.append((-i, mine[i]))
+    assert {r.listing_id: r.product_id for r in linkage.greedy(ldf, pdf).collect()} == want
+    assert any(v < 0 and v != -i for i, v in want.items()) and want[308] == -307 and want[303] == -303 and want[304] == -304
+
+
 def test_upsert(spark):
     schema = "k int, s string, price int, t timestamp, action string"
     old = spark.createDataFrame([(1, "a", 10, DAY, ""), (2, "b", 20, DAY, ""), (3, None, 30, DAY, "")], schema)
