@@ -26,7 +26,7 @@ class MatchRules:
     window: int = 8  # neighbours compared on each side in a pass
     share: float = 0.004  # words in at least this share of all names are no range
     least: int = 12  # and in at least so many names
-    rounds: int = 6  # of correlation clustering
+    most_rounds: int = 10_000  # of clustering, an error beyond; each settles a pivot at least
 
 
 def _words(names: Column) -> Column:
@@ -179,12 +179,12 @@ def cluster(edges: DataFrame, rules: MatchRules) -> DataFrame:
     """(node, pivot) of the nodes with edges, by correlation clustering in parallel rounds.
 
     In a round the nodes that rank above all their remaining agreeing neighbours are pivots; each takes the
-    neighbours for which it is the highest-ranking pivot. Nodes left after the last round stay alone. Then a
-    node that says less, and stands alone, goes to the one cluster all its weak neighbours are in, if it is one.
+    neighbours for which it is the highest-ranking pivot, until no agreeing neighbours are left. Then a node that
+    says less, and stands alone, goes to the one cluster all its weak neighbours are in, if it is one.
     """
     strong = edges.filter("w = 2")
     done = None
-    for _ in range(rules.rounds):
+    for _ in range(rules.most_rounds):
         best = strong.groupBy("a").agg(F.max("rb").alias("top"), F.first("ra").alias("ra"))
         pivots = best.filter("ra > top").select(F.col("a").alias("pivot"))
         taken = strong.join(pivots, strong["a"] == pivots["pivot"]).groupBy(F.col("b").alias("node")).agg(F.max_by("pivot", "ra").alias("pivot"))
@@ -194,6 +194,8 @@ def cluster(edges: DataFrame, rules: MatchRules) -> DataFrame:
         strong = written(strong.join(gone, strong["a"] == gone["node"], "left_anti").join(gone, strong["b"] == gone["node"], "left_anti"))
         if strong.isEmpty():
             break
+    else:
+        raise RuntimeError(f"agreeing neighbours are left after {rules.most_rounds} rounds of clustering")
     weak = edges.filter("w = 1")
     own = done.select(F.col("node").alias("a"), F.col("pivot").alias("own"))
     other = done.select(F.col("node").alias("b"), F.col("pivot").alias("of"))

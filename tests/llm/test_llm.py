@@ -51,6 +51,16 @@ def test_names_are_read_alike():
     assert names.near("zorubal", "zorbual") and names.near("zorubal", "zorubbal") and not names.near("zorubal", "zirobal")
 
 
+def test_clustering_goes_on_until_no_edge_is_left(spark):
+    # a path whose ranks fall along it: a round settles two nodes
+    edges = [(x, y, 2, (1, 100 - x, -x), (1, 100 - y, -y)) for i in range(20) for x, y in ((i, i + 1), (i + 1, i))]
+    rank = "struct<complete: int, n: long, minus: long>"
+    got = {r.node: r.pivot for r in matching.cluster(spark.createDataFrame(edges, f"a long, b long, w int, ra {rank}, rb {rank}"), matching.MatchRules()).collect()}
+    assert got == {i: i - i % 2 for i in range(20)}
+    with pytest.raises(RuntimeError, match="left after 3 rounds"):
+        matching.cluster(spark.createDataFrame(edges, f"a long, b long, w int, ra {rank}, rb {rank}"), matching.MatchRules(most_rounds=3))
+
+
 MATCHED = "id long, store_product_name string, store_ean string, store_manufacturer_ref string, node string, cluster int"
 
 
