@@ -175,14 +175,15 @@ def neighbours(nodes: DataFrame, codes: DataFrame, rules: MatchRules) -> DataFra
     return written(both.groupBy("a", "b").agg(F.max("w").alias("w"), F.max(rank("a")).alias("ra"), F.max(rank("b")).alias("rb")))
 
 
-def cluster(edges: DataFrame, rules: MatchRules) -> DataFrame:
-    """(node, pivot) of the nodes with edges, by correlation clustering in parallel rounds.
+def cluster(edges: DataFrame, rules: MatchRules) -> DataFrame | None:
+    """(node, pivot) of the nodes with agreeing edges, by correlation clustering in parallel rounds; None without any.
 
     In a round the nodes that rank above all their remaining agreeing neighbours are pivots; each takes the
-    neighbours for which it is the highest-ranking pivot, until no agreeing neighbours are left. Then a node that
-    says less, and stands alone, goes to the one cluster all its weak neighbours are in, if it is one.
+    neighbours for which it is the highest-ranking pivot, until no agreeing neighbours are left.
     """
     strong = edges.filter("w = 2")
+    if strong.isEmpty():
+        return None
     done = None
     for _ in range(rules.most_rounds):
         best = strong.groupBy("a").agg(F.max("rb").alias("top"), F.first("ra").alias("ra"))
@@ -193,9 +194,12 @@ def cluster(edges: DataFrame, rules: MatchRules) -> DataFrame:
         gone = new.select("node")
         strong = written(strong.join(gone, strong["a"] == gone["node"], "left_anti").join(gone, strong["b"] == gone["node"], "left_anti"))
         if strong.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"agreeing neighbours are left after {rules.most_rounds} rounds of clustering")
+            return written(done)
+    raise RuntimeError(f"agreeing neighbours are left after {rules.most_rounds} rounds of clustering")
+
+
+def lean(edges: DataFrame, done: DataFrame) -> DataFrame:
+    """`done` and the nodes that say less and stand alone whose weak neighbours are all in one cluster: they join it."""
     weak = edges.filter("w = 1")
     own = done.select(F.col("node").alias("a"), F.col("pivot").alias("own"))
     other = done.select(F.col("node").alias("b"), F.col("pivot").alias("of"))
@@ -210,6 +214,24 @@ def cluster(edges: DataFrame, rules: MatchRules) -> DataFrame:
     return done.unionByName(joined)
 
 
+def closed(nodes: DataFrame, codes: DataFrame, rules: MatchRules) -> DataFrame:
+    """(node, pivot): pivots and nodes alone pass through the windows again until no two of them agree.
+
+    A window reaches few of the spellings of an item with many listings; those that were taken no longer stand
+    between the pivots in the next passes. Each turn takes one node at least, so the turns end.
+    """
+    edges = all_edges = neighbours(nodes, codes, rules)
+    done = nodes.sparkSession.createDataFrame([], "node long, pivot long")
+    while (step := cluster(edges, rules)) is not None:
+        further = step.select(F.col("node").alias("pivot"), F.col("pivot").alias("further"))
+        moved = done.join(further, "pivot", "left").select("node", F.coalesce("further", "pivot").alias("pivot"))
+        done = written(moved.unionByName(step.join(done.select("node"), "node", "left_anti")))
+        taken = done.filter("node != pivot").select("node")
+        edges = neighbours(nodes.join(taken, "node", "left_anti").select(nodes.columns), codes.join(taken, "node", "left_anti").select(codes.columns), rules)
+        all_edges = all_edges.unionByName(edges)
+    return lean(all_edges.groupBy("a", "b").agg(F.max("w").alias("w"), F.max("ra").alias("ra"), F.max("rb").alias("rb")), done)
+
+
 def group(listings: DataFrame, products: DataFrame, rules: MatchRules = MatchRules()) -> DataFrame:
     """(id, cluster) of every listing: the same cluster for listings of the same item.
 
@@ -229,8 +251,7 @@ def group(listings: DataFrame, products: DataFrame, rules: MatchRules = MatchRul
         for k, c in ((10, "ean"), (11, "ref"))
     ]
     each = codes[0].unionByName(codes[1]).drop("node_").join(nodes, SIGNATURE)
-    edges = neighbours(nodes.filter(~vague), each, rules)
-    of = cluster(edges, rules)
+    of = closed(nodes.filter(~vague), each, rules)
     placed = nodes.filter(~vague).join(of, "node", "left").select(*SIGNATURE, F.coalesce("pivot", "node").alias("cluster"))
     return rows.join(placed, SIGNATURE, "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 

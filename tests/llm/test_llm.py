@@ -51,6 +51,23 @@ def test_names_are_read_alike():
     assert names.near("zorubal", "zorbual") and names.near("zorubal", "zorubbal") and not names.near("zorubal", "zirobal")
 
 
+def test_an_item_with_many_spellings_is_one_cluster(spark):
+    rng = random.Random(5)
+    word, letters = "zorubalimek", "abcdefghijklmnopqrstuvwxyz"
+
+    def slip():
+        i, how = rng.randrange(len(word)), rng.randrange(3)
+        return word[:i] + (rng.choice(letters) if how < 2 else "") + word[i + (how != 1) :]
+
+    brands, others = ["Brumac", "Ostrane", "Tiravex", "Jaltec"], ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(4)) + "x" for _ in range(150)]
+    rows = [(i, f"Vernis parquet 5 L mat Brumac {word if rng.random() < 0.6 else slip()}") for i in range(1, 401)]
+    rows += [(1000 + i, f"{('Lasure bois 2 L', 'Vernis parquet 5 L mat', 'Enduit de lissage sac 5 kg')[i % 3]} {brands[i % 4]} {others[i % 150]}") for i in range(800)]
+    df = spark.createDataFrame([(i, n, None, None) for i, n in rows], "id long, store_product_name string, store_ean string, store_manufacturer_ref string")
+    products = spark.createDataFrame([(b,) for b in brands for _ in range(3)], "brand string")
+    got = {r.id: r.cluster for r in matching.group(df, products).collect()}
+    assert len({got[i] for i in range(1, 401)}) == 1 and not {got[i] for i in range(1, 401)} & {c for i, c in got.items() if i > 1000}
+
+
 def test_clustering_goes_on_until_no_edge_is_left(spark):
     # a path whose ranks fall along it: a round settles two nodes
     edges = [(x, y, 2, (1, 100 - x, -x), (1, 100 - y, -y)) for i in range(20) for x, y in ((i, i + 1), (i + 1, i))]
