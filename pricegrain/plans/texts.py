@@ -254,6 +254,22 @@ def spec_backfill(s, d):
     return filled.select("id", F.col("color").isNull().alias("no_color"), F.col("weight").isNull().alias("no_weight"))
 
 
+def backfilled(products):
+    """id, the found specs as JSON and the six columns they fill of products without specifications.
+
+    A column that is null or empty takes the found value; specifications stay null where nothing was found.
+    """
+    rows = products.filter("specifications is null").withColumn("found", S.specs(F.col("name")))
+    filled = [F.coalesce(F.nullif(F.col(c), F.lit("")), F.try_element_at("found", F.lit(c)), F.col(c)).alias(c) for c in ("color", "volume", "weight", "dimensions", "finish", "pack_size")]
+    return rows.select("id", F.when(F.size("found") > 0, F.to_json("found")).alias("specifications"), *filled)
+
+
+@query(None)
+def spec_backfill_filled(s, d):
+    """The whole backfill, what spec_backfill only asks for: found specs and the columns they fill."""
+    return backfilled(table(s, d, "products"))
+
+
 # --- linkage by name, categories ---
 
 

@@ -89,6 +89,16 @@ def test_linkage_by_name_is_whole(spark):
     assert any(v < 0 and v != -i for i, v in want.items()) and want[308] == -307 and want[303] == -303 and want[304] == -304
 
 
+def test_backfill(spark):
+    from pricegrain.plans import texts
+
+    rows = [(1, "Vernis 2,5 L mat noir", None, "rouge", None, "", None, None, None), (2, "Marteau", None, None, "", None, None, None, None), (3, "Vernis 2,5 L", "{}", None, None, None, None, None, None), (4, None, None, None, None, None, None, None, None)]
+    got = {r.id: r for r in texts.backfilled(spark.createDataFrame(rows, "id long, name string, specifications string, color string, volume string, weight string, dimensions string, finish string, pack_size string")).collect()}
+    assert set(got) == {1, 2, 4} and got[1][2:] == ("rouge", "2,5 L", "", None, "mat", None)
+    assert '"volume":"2,5 L"' in got[1].specifications and '"finish":"mat"' in got[1].specifications and got[2].specifications is None and got[2].volume == "" and got[4][1:] == (None,) * 7
+    assert texts.spec_backfill_filled(spark, "/root/testdata/sf0.001").filter("specifications is not null").count() > 0
+
+
 def test_upsert(spark):
     schema = "k int, s string, price int, t timestamp, action string"
     old = spark.createDataFrame([(1, "a", 10, DAY, ""), (2, "b", 20, DAY, ""), (3, None, 30, DAY, "")], schema)
