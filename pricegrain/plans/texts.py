@@ -98,6 +98,15 @@ def extract_brand(s, d):
     return table(s, d, "products").select("id", T.extract_brand(F.concat("name", F.lit(" Black+Decker Bosch"))).alias("brand"), T.extract_brand(F.col("name"), ["spit", "roca", "sika", "placo"]).alias("plain"))
 
 
+_BRAND_CASE = "CASE " + " ".join(f"WHEN contains(lower(name), '{b}') THEN '{b.title()}'" for b in T.BRANDS) + " END"
+
+
+@query(f"SELECT id, {_BRAND_CASE} AS brand FROM products WHERE brand IS NULL")
+def extract_brand_missing(s, d):
+    """The first brand of the whole list in the name of each product without one."""
+    return table(s, d, "products").filter("brand is null").select("id", T.extract_brand(F.col("name")).alias("brand"))
+
+
 _PRICE = "CASE id % 4 WHEN 0 THEN replace(CAST(current_price AS VARCHAR), '.', ',') || ' €' WHEN 1 THEN '1 ' || lpad(CAST(id % 1000 AS VARCHAR), 3, '0') || ',50 €' WHEN 2 THEN '1.' || lpad(CAST(id % 1000 AS VARCHAR), 3, '0') || ',5' ELSE CAST(current_price AS VARCHAR) || ' € TTC' END"
 
 

@@ -99,6 +99,15 @@ def test_backfill(spark):
     assert texts.spec_backfill_filled(spark, "/root/testdata/sf0.001").filter("specifications is not null").count() > 0
 
 
+def test_missing_brands_are_searched_in_the_whole_list(spark, tmp_path):
+    from pricegrain.plans import texts
+
+    rows = [(1, "Perceuse MAKITA 18V", None), (2, "lavabo Jacob Delafon", None), (3, "scie Black+Decker", "x"), (4, "ponceuse black+decker", None), (5, "vis", None), (6, None, None), (7, "Hansgrohe", None)]
+    spark.createDataFrame(rows, "id long, name string, brand string").write.parquet(str(tmp_path / "products.parquet"))
+    got = {r.id: r.brand for r in texts.extract_brand_missing(spark, str(tmp_path)).collect()}
+    assert got == {1: "Makita", 2: "Jacob Delafon", 4: "Black+Decker", 5: None, 6: None, 7: "Grohe"}
+
+
 def test_upsert(spark):
     schema = "k int, s string, price int, t timestamp, action string"
     old = spark.createDataFrame([(1, "a", 10, DAY, ""), (2, "b", 20, DAY, ""), (3, None, 30, DAY, "")], schema)
