@@ -106,7 +106,7 @@ def as_of(observations: DataFrame, probes: DataFrame, key: str, time: str, value
     blocks = find_blocks(observations, key, time)
     seen = observations.select(F.col(key), F.col(time).alias("_t"), F.lit(0).alias("_kind"), F.col("id").alias("_id"), F.struct(F.col(value).alias("v")).alias("_v"), F.lit(None).cast("long").alias("probe_id"))
     asked = probes.select(F.col(key), F.col(at).alias("_t"), F.lit(1).alias("_kind"), F.col("probe_id").alias("_id"), F.lit(None).cast(seen.schema["_v"].dataType).alias("_v"), "probe_id")
-    both = seen.unionByName(asked).withColumn("block", blocks.block(F.col("_t"), F.col("_id")))
+    both = blocks.place(seen.unionByName(asked), "_t", "_id")
     filled = running_last(both, blocks, ["_t", "_kind", "_id"], F.col("_v"), "_last")
     return filled.filter("probe_id is not null").select("probe_id", key, F.col("_t").alias(at), F.col("_last.v").alias(value))
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import join_small, written
-from .hot import Blocks, find_blocks
+from .hot import Blocks, carry, find_blocks
 
 
 def observations(history: DataFrame, listings: DataFrame) -> DataFrame:
@@ -20,7 +21,7 @@ def observations(history: DataFrame, listings: DataFrame) -> DataFrame:
     return seen.unionByName(snapshot)
 
 
-def satellite(obs: DataFrame, attributes: list[str], hot_rows: int = 50_000, blocks: Blocks | None = None) -> DataFrame:
+def satellite(obs: DataFrame, attributes: list[str], hot_rows: int | None = None, blocks: Blocks | None = None) -> DataFrame:
     """Insert-only satellite of one group of attributes that change at about the same rate.
 
     `obs` has key, t, kind, id and the attributes. Of observations of a key with equal t and kind the one with
@@ -32,7 +33,7 @@ def satellite(obs: DataFrame, attributes: list[str], hot_rows: int = 50_000, blo
     """
     obs = obs.filter("key is not null and t is not null").select("key", "t", "kind", "id", *attributes)
     blocks = blocks or find_blocks(obs, "key", "t", hot_rows)
-    obs = obs.withColumn("block", blocks.block(F.col("t"), F.col("id"))).withColumn("hash_diff", F.xxhash64(*attributes))
+    obs = blocks.place(obs, "t", "id").withColumn("hash_diff", F.xxhash64(*attributes))
     order = Window.partitionBy("key", "block").orderBy("t", "kind", "id")
 
     def kept(rows: DataFrame) -> DataFrame:
@@ -46,7 +47,7 @@ def satellite(obs: DataFrame, attributes: list[str], hot_rows: int = 50_000, blo
         ends = kept(obs.filter(blocks.is_hot())).filter("kept").groupBy("key", "block").agg(F.max_by("hash_diff", F.struct("t", "kind", "id")).alias("end"))
         over = Window.partitionBy("key").orderBy("block")
         carried = ends.select("key", "block", F.lag("end").over(over).alias("carried"))
-        rows = join_small(rows, written(carried), ["key", "block"]).withColumn("before", F.coalesce("before", "carried"))
+        rows = carry(rows, blocks, carried, ["carried"]).withColumn("before", F.coalesce("before", "carried"))
     return rows.filter("before is null or before != hash_diff").select("key", "t", "kind", "id", "hash_diff", *attributes)
 
 
@@ -65,25 +66,24 @@ def append(existing: DataFrame, obs: DataFrame, attributes: list[str]) -> DataFr
     )
 
 
-def periods(rows: DataFrame, attributes: list[str | Column], hot_rows: int = 50_000) -> DataFrame:
+def periods(rows: DataFrame, attributes: list[str | Column], hot_rows: int | None = None) -> DataFrame:
     """View of a satellite with the period of each version: valid_from, valid_to (exclusive, null for the current one)."""
     blocks = find_blocks(rows, "key", "t", hot_rows)
-    rows = rows.withColumn("block", blocks.block(F.col("t"), F.col("id")))
+    rows = blocks.place(rows, "t", "id")
     order = Window.partitionBy("key", "block").orderBy("t", "kind", "id")
     out = rows.withColumn("valid_to", F.lead("t").over(order))
     if blocks.hot:
         starts = rows.filter(blocks.is_hot()).groupBy("key", "block").agg(F.min("t").alias("start"))
         over = Window.partitionBy("key").orderBy("block")
-        out = join_small(out, written(starts.select("key", "block", F.lead("start").over(over).alias("carried"))), ["key", "block"])
+        out = carry(out, blocks, starts.select("key", "block", F.lead("start").over(over).alias("carried")), ["carried"])
         out = out.withColumn("valid_to", F.coalesce("valid_to", "carried"))
     return out.select("key", F.col("t").alias("valid_from"), "valid_to", "kind", "id", *attributes)
 
 
-def price_versions(history: DataFrame, listings: DataFrame, hot_rows: int = 50_000) -> DataFrame:
+def price_versions(history: DataFrame, listings: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """The price satellite of all listings (the fast-changing group), from history and snapshot."""
     blocks = find_blocks(history, "listing_id", "scraped_at", hot_rows)
-    keyed = Blocks("key", blocks.hot, blocks.start, blocks.width, blocks.count)
-    return satellite(observations(history, listings), ["price"], hot_rows, keyed)
+    return satellite(observations(history, listings), ["price"], hot_rows, replace(blocks, key="key"))
 
 
 def listing_details(listings: DataFrame) -> DataFrame:

@@ -225,7 +225,10 @@ def stream_price_changes(s, d):
     return ST.run_to_end(ST.changes(ST.event_stream(s, d)), "append")
 
 
-@query(None)
+@query("""WITH RECURSIVE s AS (SELECT listing_id, id, epoch_us(scraped_at) AS t FROM price_history WHERE scraped_at IS NOT NULL AND listing_id IS NOT NULL),
+n AS (SELECT listing_id, id, min({'t': t, 'id': id}) OVER (PARTITION BY listing_id ORDER BY t RANGE BETWEEN 43200000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM s),
+a AS (SELECT listing_id, arg_min(id, (t, id)) AS id FROM s GROUP BY 1 UNION ALL SELECT n.listing_id, n.nxt.id FROM a JOIN n ON n.id = a.id WHERE n.nxt IS NOT NULL)
+SELECT listing_id, id FROM a""")
 def freshness_skip(s, d):
     """Price rows accepted when a listing is written at most once in 12 hours after the last accepted one."""
     return ST.accepted(table(s, d, "price_history"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.hot import find_blocks, running_last
-from ..session import shared_folder, written
+from ..operators.hot import carry, find_blocks
+from ..session import shared_folder
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The events table as a stream of files."""
@@ -57,23 +58,86 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out").select(*stream.columns)
 
 
-def accepted(history: DataFrame, hours: int = 12, hot_rows: int = 50_000) -> DataFrame:
+def _exits(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFrame]:
+    """For rows sorted by (listing_id, block, t): which row is the last accepted one of the block if a given one is the first.
+
+    The last accepted row before a block is older than its first row, so only rows up to `span` after that, and the
+    next one, can be the first accepted. A block is held in memory, a bounded number of rows.
+    """
+
+    def of_block(key: tuple, times: list[int]) -> pd.DataFrame:
+        t = np.unique(np.array(times, dtype=np.int64))
+        following = np.searchsorted(t, t + span).tolist()
+        out = t.tolist()
+        for i in range(len(out) - 1, -1, -1):
+            if following[i] < len(out):
+                out[i] = out[following[i]]
+        n = min(len(out), int(np.searchsorted(t, t[0] + span)) + 1)
+        return pd.DataFrame({"listing_id": pd.array([key[0]] * n, dtype="Int64"), "block": key[1], "entry": t[:n], "exit": out[:n]})
+
+    current, times = None, []
+    for batch in batches:
+        for listing, block, t in zip(batch["listing_id"].tolist(), batch["block"].tolist(), batch["t"].tolist(), strict=True):
+            if (listing, block) != current:
+                if times:
+                    yield of_block(current, times)
+                current, times = (listing, block), []
+            times.append(t)
+    if times:
+        yield of_block(current, times)
+
+
+def _handed_on(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFrame]:
+    """For the rows of `_exits` sorted by (listing_id, block, entry): the last accepted time before each block of a listing."""
+    listing = block = last = None
+    entered = False
+    for batch in batches:
+        out = []
+        for key, at, entry, leave in zip(*(batch[c].tolist() for c in ("listing_id", "block", "entry", "exit")), strict=True):
+            if key != listing:
+                listing, block, last = key, None, None
+            if at != block:
+                block, entered = at, False
+                if last is not None:
+                    out.append((listing, block, last))
+            if not entered and (last is None or entry >= last + span):
+                last, entered = leave, True
+        yield pd.DataFrame(out, columns=["listing_id", "block", "before"])
+
+
+def accepted(history: DataFrame, hours: int = 12, hot_rows: int | None = None) -> DataFrame:
     """listing_id, id of rows accepted when one within `hours` after the last accepted row of its listing is skipped.
 
-    A row that comes at least `hours` after the one before it is accepted whatever was before, so a listing's rows
-    are cut there into bursts, which are folded apart from each other; a hot listing is spread over its bursts and,
-    to find them, over blocks of time.
+    Rows are ordered by time and id; those without a time or listing are none. A hot listing is cut into blocks of
+    time: what a block does to the last accepted time is found for each block apart, handed on over the blocks, and
+    then each block is read from the time that reaches it, so that no task reads all rows of a listing.
     """
     span = hours * 3_600_000_000
     rows = history.filter("scraped_at is not null and listing_id is not null").select("listing_id", "id", "scraped_at")
     blocks = find_blocks(rows, "listing_id", "scraped_at", hot_rows)
-    rows = rows.withColumn("block", blocks.block(F.col("scraped_at"), F.col("id"))).withColumn("t", F.unix_micros("scraped_at"))
-    gaps = written(running_last(rows, blocks, ["t", "id"], F.col("t"), "last", inclusive=False))
-    starts = F.when(F.col("last").isNull() | (F.col("t") - F.col("last") >= span), F.struct("t", "id"))
-    bursts = running_last(gaps, blocks, ["t", "id"], starts, "burst")
-    folded = bursts.groupBy("listing_id", "burst").agg(F.sort_array(F.collect_list(F.struct("t", "id"))).alias("rows"))
-    fold = F.reduce(
-        "rows", F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("ids")),
-        lambda a, r: F.when(a["last"].isNull() | (r["t"] - a["last"] >= span), F.struct(r["t"].alias("last"), F.concat(a["ids"], F.array(r["id"])).alias("ids"))).otherwise(a),
-    )
-    return folded.select("listing_id", F.explode(fold["ids"]).alias("id"))
+    rows = blocks.place(rows, "scraped_at", "id").select("listing_id", "block", F.unix_micros("scraped_at").alias("t"), "id")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = "listing_id long, block int"
+    if blocks.hot:
+        hot = rows.filter(blocks.is_hot()).repartition(tasks, "listing_id", "block").sortWithinPartitions("listing_id", "block", "t")
+        exits = hot.select("listing_id", "block", "t").mapInPandas(lambda b: _exits(b, span), f"{kind}, entry long, exit long")
+        ordered = exits.repartition(tasks, "listing_id").sortWithinPartitions("listing_id", "block", "entry")
+        rows = carry(rows, blocks, ordered.mapInPandas(lambda b: _handed_on(b, span), f"{kind}, before long"), ["before"])
+    else:
+        rows = rows.withColumn("before", F.lit(None).cast("long"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, due = None, 0
+        for batch in batches:
+            out = []
+            before = batch["before"].fillna(-(2**62)).astype("int64").tolist()
+            for listing, block, t, i, at in zip(*(batch[c].tolist() for c in ("listing_id", "block", "t", "id")), before, strict=True):
+                if (listing, block) != current:
+                    current, due = (listing, block), at + span
+                if t >= due:
+                    out.append((listing, i))
+                    due = t + span
+            yield pd.DataFrame(out, columns=["listing_id", "id"])
+
+    each = rows.repartition(tasks, "listing_id", "block").sortWithinPartitions("listing_id", "block", "t", "id")
+    return each.mapInPandas(fold, "listing_id long, id long")

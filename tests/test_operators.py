@@ -174,3 +174,29 @@ def test_sinks(spark, tmp_path):
     sinks.write_backup(df, str(tmp_path / "b"))
     with pytest.raises(Exception, match="already exists"):
         sinks.write_backup(df, str(tmp_path / "b"))
+
+
+def test_a_stray_date_moves_no_block(spark):
+    rows = spark.range(40_000).select("id", F.when(F.col("id") % 40 == 0, F.col("id")).alias("k"), F.timestamp_seconds(1_700_000_000 + F.col("id")).alias("t"))
+    rows = rows.unionByName(spark.createDataFrame([(-1, 7, datetime(1970, 1, 1)), (-2, 7, datetime(2300, 1, 1))], "id long, k long, t timestamp")).withColumn("k", F.when(F.col("id") % 40 == 0, F.col("k")).otherwise(7))
+    rows = rows.withColumn("k", F.when(F.col("id") % 4 == 1, None).otherwise(F.col("k")))
+    blocks = hot.find_blocks(rows, "k", "t", 5_000)
+    assert {k for k, _ in blocks.hot} == {7, None}
+    sizes = {}
+    for r in blocks.place(rows, "t", "id").groupBy("k", "block").count().collect():
+        sizes.setdefault(r.k, []).append(r["count"])
+    assert all(len(sizes[k]) == 8 and max(sizes[k]) < 2 * sum(sizes[k]) / 8 for k in (7, None)) and sizes[80] == [1]
+
+
+def test_freshness_of_a_hot_burst(spark, monkeypatch):
+    monkeypatch.setattr(hot, "BLOCK_ROWS", 50)
+    rng = random.Random(11)
+    rows = [(i, 1 if i % 5 else rng.randrange(2, 6), DAY + timedelta(minutes=rng.randrange(60_000))) for i in range(3000)] + [(9000, None, DAY), (9001, 1, None)]
+    df = spark.createDataFrame(rows, "id long, listing_id long, scraped_at timestamp")
+    taken, want = {}, set()
+    for i, k, t in sorted((r for r in rows if r[1] and r[2]), key=lambda r: (r[2], r[0])):
+        if k not in taken or t - taken[k] >= timedelta(hours=12):
+            taken[k] = t
+            want.add(i)
+    assert {r.id for r in prices.accepted(df, 12, 100).collect()} == want
+    assert prices.accepted(df.limit(0)).count() == 0
