@@ -7,6 +7,7 @@ from decimal import Decimal
 from statistics import median
 
 import pytest
+from pyspark.sql import functions as F
 
 from pricegrain.operators import history, hot, skew, spikes, tree, units
 
@@ -149,11 +150,11 @@ def brute_cases(rows, listings):
             if r[3] is not None and k is not None:
                 last[r[3]] = max(last.get(r[3], r), r, key=lambda x: x[0])
         kept = [last[t] for t in sorted(last)]
-        runs, moved = [], [False] * len(kept)
+        runs, moved = [], [True] + [False] * (len(kept) - 1)
         for i, r in enumerate(kept):
             if i and kept[i - 1][2] != r[2]:
                 moved[i] = True
-            if not i or moved[i]:
+            if moved[i]:
                 runs.append([])
             runs[-1].append(i)
         for run in runs:
@@ -176,6 +177,17 @@ def test_spikes_match_brute_force(spark, monkeypatch, hot_rows):
     assert got.filter("stuck").count() > 20
 
 
+def test_the_cutoff_is_the_tail_quantile_of_normal_prices(spark):
+    rng = random.Random(6)
+    rows = [(i, 1 + i % 40, d(round(100 * 2.718281828 ** (rng.choice([-1, 1]) * rng.expovariate(10)), 2)), DAY + timedelta(hours=i), "", 0) for i in range(40_000)]
+    rows += [(50_000 + i, 1 + i % 40, d(rng.choice([900, 4])), DAY + timedelta(hours=i, minutes=1), "", 0) for i in range(1_500)]
+    listings = [(i, 9, d(100), DAY, 0) for i in range(1, 41)]
+    got = spikes.flag_prices(spark.createDataFrame(rows, HISTORY), spark.createDataFrame(listings, LISTINGS)).filter("record_kind = 'price_history'")
+    r = got.agg(F.max("cutoff").alias("cutoff"), F.expr("count_if(tail and record_id < 50000)").alias("n"), F.expr("count_if(is_case and record_id >= 50000)").alias("far")).head()
+    # the residual is exponential of mean 0.1: one in a thousand lies above 0.69, whatever the spikes
+    assert 0.6 < r.cutoff < 0.78 and 15 <= r.n <= 80 and r.far == 1_500
+
+
 def test_spikes_on_empty_tables(spark):
     assert spikes.flag_prices(spark.createDataFrame([], HISTORY), spark.createDataFrame([], LISTINGS)).count() == 0
 
