@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if its counted rows are at most this.
@@ -38,9 +38,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or on local[...] one of our own where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = getattr(shared_folder, "own", None)
         if not folder:
             folder = shared_folder.own = "file://" + tempfile.mkdtemp(prefix="pricegrain-")
@@ -49,19 +51,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, counts: dict[str, Column] | None = None):
     """The same rows with their lineage cut: written as a table to the shared folder and read again.
 
     Parquet rather than checkpoint(): columnar and compressed, and without the constraints a checkpointed plan
-    keeps, which grow with every round of an iteration. The tables are removed when the driver ends.
+    keeps, which grow with every round of an iteration. The tables are removed when the driver ends. With `counts`,
+    aggregates observed while writing, the result is (rows, {name: value}).
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation()
+    (df.observe(seen, *[c.alias(n) for n, c in counts.items()]) if counts else df).write.parquet(path)
     if not _tables:
         atexit.register(_remove, spark)
     _tables.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    return (out, seen.get) if counts else out
 
 
 _tables: list[str] = []

@@ -274,3 +274,12 @@ def test_hierarchy_edges(spark):
     one = tree.hierarchy(spark.createDataFrame([(1, None), (2, 1), (3, 2)], "id long, parent_id long"))
     assert sorted((r.ancestor, r.descendant, r.distance) for r in tree.descendants(one).collect()) == [(1, 2, 1), (1, 3, 2), (2, 3, 1)]
     assert [(r.depth, r.root) for r in one.orderBy("id").collect()] == [(0, 1), (1, 1), (2, 1)]
+
+
+def test_a_hot_parent_and_cycles_alone(spark):
+    links = [(1, None), (2, 1)] + [(i, 2) for i in range(10, 1500)] + [(2001, 2002), (2002, 2003), (2003, 2001), (2004, 2003)] + [(3000, 3000), (3001, 3000)]
+    df = spark.createDataFrame(links, "id long, parent_id long")
+    assert {r.id for r in tree.cycles(df).collect()} == {2001, 2002, 2003, 3000}
+    got = {r.id: (r.path, r.on_cycle, r.below_cycle) for r in tree.hierarchy(df).collect()}
+    assert got == brute_tree(links)
+    assert tree.cycles(df.limit(0)).count() == 0
