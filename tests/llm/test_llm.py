@@ -113,7 +113,7 @@ def test_no_listings(spark):
 # --- 8 ---
 
 
-@pytest.mark.parametrize(("chunk", "overlap"), [(16_384, 1_024), (64, 24), (7, 3)])
+@pytest.mark.parametrize(("chunk", "overlap"), [(tokens.CHUNK, tokens.OVERLAP), (64, 24), (7, 3)])
 def test_ids_are_those_of_the_library(spark, chunk, overlap):
     from tokenizers import Tokenizer
 
@@ -125,6 +125,8 @@ def test_ids_are_those_of_the_library(spark, chunk, overlap):
     assert got == {i: library.encode(x, add_special_tokens=False).ids if x else [] for i, x in enumerate(texts)}
     assert all(tokens.decode(got[i]) == (x or "") for i, x in enumerate(texts))
     assert tokens.encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    twice = spark.createDataFrame([(1, texts[4]), (1, texts[4]), (None, texts[5]), (None, None)], "doc_id long, text string")
+    assert sorted(r.n for r in tokens.encode(twice, chunk=chunk, overlap=overlap, count=True).collect()) == sorted([0, len(got[5]), len(got[4]), len(got[4])])
 
 
 # --- 9 ---
@@ -133,7 +135,7 @@ def test_ids_are_those_of_the_library(spark, chunk, overlap):
 def test_packing_keeps_every_item(spark):
     rng = random.Random(4)
     rows = [(i, rng.choice([None, 0, -3, 100, 101, 250, *[rng.randrange(1, 100) for _ in range(20)]]), "c", 0) for i in range(1500)]
-    out = packing.pack(spark.createDataFrame(rows, "doc_id long, n int, container string, length int"), "doc_id", "n", 100, 8).collect()
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, n int, container string, length int"), "doc_id", "n", 100, 8, 64).collect()
     size = defaultdict(int)
     filled = defaultdict(list)
     for r in out:
