@@ -40,7 +40,7 @@ PATTERNS = {
     "speed": (r"[0-9][0-9\s]*[0-9]\s*(?:tr/min|rpm|tours/min)\b", True),
     "chuck": (rf"mandrin\s*(?:de\s*)?{NUMBER}\s*mm", True),
     "key_size": (rf"(?:clé|cle|clés|douille)\s*(?:de\s*)?{NUMBER}\s*(?:mm|\")?", True),
-    "drive_size": (r"\b(?:1/4|3/8|1/2|3/4)\s*[\"″]?", False),
+    "drive_size": (r"\b(?:1/4|3/8|1/2|3/4)\s*[\"″]?\b", False),
     "teeth": (r"[0-9]+\s*(?:dents|dts)\b", True),
     "max_load": (r"(?:charge|maxi?\.?)\s*[0-9]+\s*kg", True),
     "steps": (r"[0-9]+\s*(?:marches?|échelons?|barreaux?)", True),
@@ -49,15 +49,17 @@ PATTERNS = {
     "ip_rating": (r"\bIP\s*[0-9]{2}\b", False),
     "bit_type": (r"\b(?:PH[0-4]|PZ[0-4]|Torx\s*T?[0-9]+|T[0-9]{1,2}|SL\s*[0-9]+|6\s*pans?\s*[0-9]+|BTR\s*[0-9]+|hexagonale?\s*[0-9]+|plate?|cruciforme|phillips|pozidri[vx])\b", True),
 }
+#: fields that are read from the name in small letters
+SMALL = ["chuck", "key_size", "teeth", "max_load", "steps"]
 WEIGHT_KG, WEIGHT_G = rf"{NUMBER}\s*kg\b", r"[0-9]{2,}\s*g\b"
 POWER = r"(?:^|[^A-Za-z0-9])([0-9]+\s*(?:V|W|kW))\b"
 AMPERAGE = r"[0-9]+\s*A\b"
-#: ordered (part of the name, label); the first part found counts
+#: ordered (part of the name, label); the first part found counts; those of tool_type are patterns of whole words
 LABELS = {
     "tool_type": [
         ("sans fil", "sans fil"), ("filaire", "filaire"), ("à percussion", "percussion"), ("percussion", "percussion"), ("à cliquet", "à cliquet"),
-        ("cliquet", "à cliquet"), ("pneumatique", "pneumatique"), ("hydraulique", "hydraulique"), ("sds-plus", "SDS-Plus"), ("sdsplus", "SDS-Plus"),
-        ("sds-max", "SDS-Max"), ("sdsmax", "SDS-Max"), ("brushless", "brushless"),
+        ("cliquet", "à cliquet"), ("pneumatique", "pneumatique"), ("hydraulique", "hydraulique"), ("sds-?plus", "SDS-Plus"), ("sds-?max", "SDS-Max"),
+        ("brushless", "brushless"),
     ],
     "saw_type": [
         ("scie sauteuse", "sauteuse"), ("scie circulaire", "circulaire"), ("scie sabre", "sabre"), ("scie cloche", "cloche"), ("scie à onglet", "à onglet"),
@@ -96,17 +98,17 @@ def longest_first(terms: list[str]) -> list[str]:
     return sorted(terms, key=lambda t: -len(t))
 
 
-def _label(name: Column, rules: list[tuple[str, str]]) -> Column:
+def _label(name: Column, rules: list[tuple[str, str]], whole: bool) -> Column:
     low, out = F.lower(name), F.lit(None).cast("string")
     for part, label in reversed(rules):
-        out = F.when(F.contains(low, F.lit(part)), F.lit(label)).otherwise(out)
+        out = F.when(low.rlike(rf"(?U)\b{part}\b") if whole else F.contains(low, F.lit(part)), F.lit(label)).otherwise(out)
     return out
 
 
 def field(name: Column, which: str) -> Column:
     """One field of a name, null where it is not in it."""
     if which in PATTERNS:
-        return _match(name, *PATTERNS[which])
+        return _match(F.lower(name) if which in SMALL else name, *PATTERNS[which])
     if which == "weight":
         return F.coalesce(_match(name, WEIGHT_KG, True), _match(name, WEIGHT_G))
     if which == "power":
@@ -121,7 +123,7 @@ def field(name: Column, which: str) -> Column:
     if which == "finish":
         base = F.create_map(*[F.lit(x) for pair in FINISH_NAMES.items() for x in pair])
         return F.element_at(F.transform(F.array(_term(name, FINISHES)), lambda t: F.coalesce(F.try_element_at(base, t), t)), 1)
-    return _label(name, LABELS[which])
+    return _label(name, LABELS[which], which == "tool_type")
 
 
 FIELDS = [*PATTERNS, "weight", "power", "amperage", "color", "material", "finish", *LABELS]

@@ -24,7 +24,7 @@ CATEGORY_RULES = [
     (r"enduit|sous.couche|pr[eé]paration|rebouchage|lissage", "enduit-preparation"),
     (r"peinture|rouleau|pinceau|b[âa]che|ruban.*masqu", "peinture"),
     (r"perceuse|visseuse|perforateur|meuleuse|ponceuse|scie\s+(?:sauteuse|circulaire|sabre)|rabot|d[eé]fonceuse|d[eé]coupeur|cloueur", "outillage-electroportatif"),
-    (r"tournevis|marteau|pince|cl[eé]|niveau|m[eè]tre|scie\s+|cisaille|lime|burin|spatule|truelle|cutter|couteau|equerre|compas", "outillage-main"),
+    (r"tournevis|marteau|pince|cl[eé]|niveau|m[eè]tre|scie\s+(?!sauteuse|circulaire)|cisaille|lime|burin|spatule|truelle|cutter|couteau|equerre|compas", "outillage-main"),
     (r"vis\b|boulon|[eé]crou|cheville|rivet|agrafe|clou|rondelle|tige\s+filet", "visserie-fixation"),
     (r"mesure|tra[cç]age|laser|d[eé]tecteur|t[eé]l[eé]m[eè]tre", "mesure-tracage"),
     (r"outillage|outil|servante|caisse.*outil|coffret|rangement.*atelier|[eé]tabli", "outillage"),
@@ -270,27 +270,22 @@ def incompatible(listings: DataFrame, products: DataFrame) -> DataFrame:
     return rows.filter(~S.compatible(F.col("of_listing"), F.col("of_product"))).select("listing_id", "product_id")
 
 
-def relink(listings: DataFrame, products: DataFrame) -> DataFrame:
-    """(listing_id, was, product_id, rule) of detached listings: rule ean, ref or none."""
-    from .catalog import link_by_code
+def categorize(products: DataFrame, listings: DataFrame, categories: DataFrame, rules: list[tuple[str, str]] = CATEGORY_RULES) -> DataFrame:
+    """(id, category_id) of the products without a category: the first rule that fits and whose slug is a category's.
 
-    bad = incompatible(listings, products).withColumnRenamed("product_id", "was")
-    freed = listings.join(bad.select(F.col("listing_id").alias("id")), "id", "left_semi").withColumn("product_id", F.lit(None).cast("long"))
-    by_ean = link_by_code(freed, products, "store_ean", "ean").withColumnRenamed("product_id", "by_ean")
-    by_ref = link_by_code(freed, products, "store_manufacturer_ref", "manufacturer_ref").withColumnRenamed("product_id", "by_ref")
-    both = bad.join(by_ean, "listing_id", "left").join(by_ref, "listing_id", "left")
-    rule = F.when(F.col("by_ean").isNotNull(), "ean").when(F.col("by_ref").isNotNull(), "ref").otherwise("none")
-    return both.select("listing_id", "was", F.coalesce("by_ean", "by_ref").alias("product_id"), rule.alias("rule"))
-
-
-def categorize(products: DataFrame, listings: DataFrame, rules: list[tuple[str, str]] = CATEGORY_RULES) -> DataFrame:
-    """(id, slug): the first rule whose pattern is in the name and the first listing's path; null for none."""
-    path = listings.filter("product_id is not null").groupBy(F.col("product_id").alias("id")).agg(F.min_by("category_path", F.when(F.col("category_path").isNotNull(), F.col("id"))).alias("path"))
-    text = F.lower(F.concat("name", F.coalesce(F.concat(F.lit(" "), "path"), F.lit(""))))
-    slug: Column = F.lit(None).cast("string")
-    for pattern, name in reversed(rules):
-        slug = F.when(F.col("text").rlike("(?u)" + pattern), F.lit(name)).otherwise(slug)
-    return products.select("id", "name").join(path, "id", "left").select("id", text.alias("text")).select("id", slug.alias("slug"))
+    The text is the product's name and the category path of its first listing, where that has one. Of categories
+    with one slug the last id counts; null where no rule is left. A null name is an empty one.
+    """
+    path = listings.filter("product_id is not null").groupBy(F.col("product_id").alias("id")).agg(F.min_by("category_path", "id").alias("path"))
+    slugs = [slug for _, slug in rules]
+    known = {r["slug"]: r["id"] for r in categories.filter(F.col("slug").isin(slugs)).groupBy("slug").agg(F.max("id").alias("id")).collect()}  # one row a rule at most
+    text = F.lower(F.concat(F.coalesce("name", F.lit("")), F.coalesce(F.concat(F.lit(" "), F.nullif("path", F.lit(""))), F.lit(""))))
+    found: Column = F.lit(None).cast("long")
+    for pattern, slug in reversed(rules):
+        if slug in known:
+            found = F.when(F.col("text").rlike("(?u)" + pattern), F.lit(known[slug]).cast("long")).otherwise(found)
+    open_ = products.filter("category_id is null").select("id", "name").join(path, "id", "left")
+    return open_.select("id", text.alias("text")).select("id", found.alias("category_id"))
 
 
 def assign_slugs(products: DataFrame) -> DataFrame:

@@ -65,10 +65,10 @@ def match_ean_create(s, d):
     return C.link_or_create(table(s, d, "store_listings"), table(s, d, "products"))
 
 
-@query("""SELECT product_id, arg_min(category_path, id) FILTER (WHERE category_path IS NOT NULL) AS category_path FROM store_listings WHERE product_id IS NOT NULL GROUP BY product_id""")
+@query("""SELECT product_id, first(category_path ORDER BY id) AS category_path FROM store_listings WHERE product_id IS NOT NULL GROUP BY product_id""")
 def first_listing(s, d):
     rows = table(s, d, "store_listings").filter("product_id is not null")
-    return rows.groupBy("product_id").agg(F.min_by("category_path", F.when(F.col("category_path").isNotNull(), F.col("id"))).alias("category_path"))
+    return rows.groupBy("product_id").agg(F.min_by("category_path", "id").alias("category_path"))
 
 
 @query("""SELECT l.id FROM store_listings l WHERE EXISTS (SELECT 1 FROM stores s WHERE s.id = l.store_id AND s.website IS NOT NULL)""")
@@ -239,50 +239,6 @@ def dedup_first(s, d):
     return table(s, d, "store_listings").filter("store_ean is not null").groupBy("store_ean").agg(F.min("id").alias("id"))
 
 
-_BATCH = "SELECT l.store_id, l.store_sku, h.price AS current_price, h.scraped_at AS last_scraped_at FROM price_history h JOIN store_listings l ON l.id = h.listing_id WHERE h.scraped_at IS NOT NULL AND l.store_sku IS NOT NULL"
-
-
-@query(f"""WITH b AS (SELECT store_id, store_sku, max(last_scraped_at) AS t, arg_max(current_price, (last_scraped_at, current_price)) AS p FROM ({_BATCH}) GROUP BY 1, 2)
-SELECT l.store_id, l.store_sku, CASE WHEN b.t > l.last_scraped_at OR (b.t IS NOT NULL AND l.last_scraped_at IS NULL) THEN b.p ELSE l.current_price END AS current_price,
-CASE WHEN b.t > l.last_scraped_at OR (b.t IS NOT NULL AND l.last_scraped_at IS NULL) THEN b.t ELSE l.last_scraped_at END AS last_scraped_at,
-CASE WHEN b.t > l.last_scraped_at OR (b.t IS NOT NULL AND l.last_scraped_at IS NULL) THEN 'updated' ELSE 'kept' END AS action FROM store_listings l LEFT JOIN b USING (store_id, store_sku)""")
-def upsert_listings(s, d):
-    """The snapshot after all observed prices of the history came in as one batch."""
-    listings, seen = table(s, d, "store_listings"), table(s, d, "price_history").filter("scraped_at is not null")
-    # the last observation of a listing is found before the join, where hot listings combine early
-    last = seen.groupBy("listing_id").agg(F.max(F.struct("scraped_at", "price")).alias("x"))
-    keys = listings.filter("store_sku is not null").select(F.col("id").alias("listing_id"), "store_id", "store_sku")
-    batch = keys.join(last, "listing_id").select("store_id", "store_sku", F.col("x.price").alias("current_price"), F.col("x.scraped_at").alias("last_scraped_at"))
-    return C.upsert(listings, batch, ["store_id", "store_sku"], ["current_price"], "last_scraped_at")
-
-
-@query("""SELECT id, coalesce(nullif(trim(p.brand), ''), f.manufacturer) AS brand, coalesce(nullif(trim(p.image_url), ''), f.image_url) AS image_url FROM products p LEFT JOIN (
-SELECT product_id, arg_min(store_manufacturer_ref, id) FILTER (WHERE store_manufacturer_ref IS NOT NULL) AS manufacturer, arg_min(image_url, id) FILTER (WHERE image_url IS NOT NULL) AS image_url FROM store_listings GROUP BY 1) f ON f.product_id = p.id""")
-def propagate_product(s, d):
-    """Empty product fields filled from the first listing that has one; filled ones stay."""
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id")))
-    found = table(s, d, "store_listings").filter("product_id is not null").groupBy(F.col("product_id").alias("id")).agg(first("store_manufacturer_ref").alias("f_brand"), first("image_url").alias("f_image"))
-    rows = table(s, d, "products").join(found, "id", "left")
-    return rows.select("id", F.coalesce(F.nullif(F.trim("brand"), F.lit("")), "f_brand").alias("brand"), F.coalesce(F.nullif(F.trim("image_url"), F.lit("")), "f_image").alias("image_url"))
-
-
-@query("""SELECT id, name, chain FROM stores UNION ALL SELECT store_id + 1000000, 'store ' || store_id, NULL FROM (SELECT DISTINCT store_id FROM store_listings WHERE store_id IS NOT NULL)""")
-def copy_insert_ignore(s, d):
-    """Rows of a source table put into a target that has some of the keys already."""
-    stores = table(s, d, "stores").select("id", "name", "chain")
-    seen = table(s, d, "store_listings").filter("store_id is not null").select("store_id").distinct()
-    news = seen.select((F.col("store_id") + 1_000_000).alias("id"), F.concat(F.lit("store "), F.col("store_id").cast("string")).alias("name"), F.lit(None).cast("string").alias("chain"))
-    return C.insert_ignore(stores, news.unionByName(stores), "id")
-
-
-@query("SELECT id, row_number() OVER (ORDER BY id) - 1 AS at, CAST(floor((row_number() OVER (ORDER BY id) - 1) / ceil((SELECT count(*) FROM products) / 7.0)) AS BIGINT) AS shard FROM products")
-def shard_chunk(s, d):
-    """Seven contiguous shards by id, the last with the remainder."""
-    rows = table(s, d, "products").select("id")
-    n = rows.count()
-    return C.row_numbers(rows, "id", "k").select("id", (F.col("k") - 1).alias("at"), F.floor((F.col("k") - 1) / max(1, -(-n // 7))).alias("shard"))
-
-
 @query("SELECT id, row_number() OVER (ORDER BY id) - 1 AS at, (row_number() OVER (ORDER BY id) - 1) % 7 AS shard FROM products")
 def shard_mod(s, d):
     return C.row_numbers(table(s, d, "products").select("id"), "id", "k").select("id", (F.col("k") - 1).alias("at"), ((F.col("k") - 1) % 7).alias("shard"))
@@ -294,27 +250,6 @@ def union_links(s, d):
     return a.unionByName(table(s, d, "stores").select(F.col("website").alias("url"))).filter("url is not null").distinct()
 
 
-@query("""SELECT l.id, l.store_sku, CASE WHEN abs(p.min_price) IS DISTINCT FROM l.current_price AND p.min_price IS NOT NULL THEN abs(p.min_price) ELSE l.current_price END AS current_price,
-abs(p.min_price) IS DISTINCT FROM l.current_price AND p.min_price IS NOT NULL AS changed FROM store_listings l LEFT JOIN products p ON p.id = l.product_id WHERE l.store_sku IS NOT NULL""")
-def feed_import(s, d):
-    """A feed of product prices laid over the listings by sku: the price changes only where the feed has another."""
-    from ..sources.pages import normalise_feed
-
-    listings = table(s, d, "store_listings").filter("store_sku is not null")
-    raw = table(s, d, "products").select(F.col("id").alias("product_id"), F.col("min_price").cast("string").alias("price"))
-    feed = normalise_feed(raw.withColumn("product_id", F.col("product_id").cast("string"))).select(F.col("product_id").cast("long").alias("product_id"), F.col("price").cast("decimal(10,2)").alias("fed"))
-    rows = listings.join(feed.filter("fed is not null"), "product_id", "left")
-    changed = F.col("fed").isNotNull() & ~F.col("fed").eqNullSafe(F.col("current_price"))
-    return rows.select("id", "store_sku", F.when(changed, F.col("fed")).otherwise(F.col("current_price")).alias("current_price"), changed.alias("changed"))
-
-
-@query("""SELECT * FROM (VALUES (1, 'Peinture', CAST(NULL AS INT)), (2, 'Outillage', NULL), (3, 'Lasures', 1), (4, 'Enduits', 1), (5, 'Perceuses', 2)) t(id, name, parent_id) WHERE (SELECT count(*) FROM categories) >= 0""")
-def seed_tree(s, d):
-    """A two-level seed flattened to rows; seeded only where the target is empty."""
-    seed = {"Peinture": ["Lasures", "Enduits"], "Outillage": ["Perceuses"]}
-    return C.seed_rows(s, seed)
-
-
 # --- serving queries: names only in the reference, so the simplest meaning is taken ---
 
 _OFFERS = "SELECT l.product_id, l.store_id, l.current_price, l.id FROM store_listings l WHERE product_id IS NOT NULL AND current_price > 0"

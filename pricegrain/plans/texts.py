@@ -91,22 +91,22 @@ def strip_tags(s, d):
     return table(s, d, "products").select("id", T.strip_tags(page).alias("plain"))
 
 
-
-
-@query("SELECT id, 'Bosch' AS brand, CASE WHEN lower(name) LIKE '%spit%' THEN 'Spit' WHEN lower(name) LIKE '%roca%' THEN 'Roca' WHEN lower(name) LIKE '%sika%' THEN 'Sika' WHEN lower(name) LIKE '%placo%' THEN 'Placo' END AS plain FROM products")
-def extract_brand(s, d):
-    return table(s, d, "products").select("id", T.extract_brand(F.concat("name", F.lit(" Black+Decker Bosch"))).alias("brand"), T.extract_brand(F.col("name"), ["spit", "roca", "sika", "placo"]).alias("plain"))
-
-
 _BRAND_CASE = "CASE " + " ".join(f"WHEN contains(lower(name), '{b}') THEN '{b.title()}'" for b in T.BRANDS) + " END"
 
 
 @query(f"SELECT id, {_BRAND_CASE} AS brand FROM products WHERE brand IS NULL")
-def extract_brand_missing(s, d):
+def extract_brand(s, d):
     """The first brand of the whole list in the name of each product without one."""
     return table(s, d, "products").filter("brand is null").select("id", T.extract_brand(F.col("name")).alias("brand"))
 
 
+@query(f"SELECT id, {_BRAND_CASE.replace('lower(name)', 'lower(l)')} AS brand FROM (SELECT id, name || ' ' || [{', '.join(repr(b) for b in T.BRANDS)}][CAST(id % {len(T.BRANDS)} AS INT) + 1] AS l FROM products)")
+def extract_brand_known(s, d):
+    """The same on names that all hold a brand of the list, each in turn."""
+    names = F.concat("name", F.lit(" "), F.element_at(F.array(*[F.lit(b) for b in T.BRANDS]), (F.col("id") % len(T.BRANDS)).cast("int") + 1))
+    return table(s, d, "products").select("id", T.extract_brand(names).alias("brand"))
+
+
 _PRICE = "CASE id % 4 WHEN 0 THEN replace(CAST(current_price AS VARCHAR), '.', ',') || ' €' WHEN 1 THEN '1 ' || lpad(CAST(id % 1000 AS VARCHAR), 3, '0') || ',50 €' WHEN 2 THEN '1.' || lpad(CAST(id % 1000 AS VARCHAR), 3, '0') || ',5' ELSE CAST(current_price AS VARCHAR) || ' € TTC' END"
 
 
@@ -194,42 +194,83 @@ def url_shape(s, d):
 
 # --- specifications ---
 
+#: What names are made longer by in turn, so that every field occurs.
+_EXTRA = [
+    "ép. 12 mm Long. 2,5 m grain 120", "Mandrin de 13 mm 1500 tr/min couple 60 Nm", "CLÉ de 12 mm lame 48 Dents", "Charge 150 KG 7 Marches 8 bars", "câble 2,5 mm² IP44 16 A",
+    'embout PH2 Torx T20 carré 1/2"', "scie sauteuse sans fil 18V 4Ah", "PINCE COUPANTE à cliquet", "foret béton SDS-Plus", "disque diamant Ø 125 mm acier inoxydable blanc cassé mate lot de 10",
+    "trépan percussions Brushless 2,5 kg", "filaire pneumatique 750 g 0,75 l 60 x 40 cm",
+]
 
-def _re(pattern: str, ignore: bool) -> str:
-    return f"nullif(trim(regexp_extract(name, '{pattern.replace(chr(39), chr(39) * 2)}', 0{', ' + chr(39) + 'i' + chr(39) if ignore else ''})), '')"
 
+def _spec_names(s, d):
+    extra = F.element_at(F.array(*[F.lit(x) for x in _EXTRA]), (F.col("id") % len(_EXTRA)).cast("int") + 1)
+    return table(s, d, "products").select("id", F.concat("name", F.lit(" "), extra).alias("name"))
+
+
+_SPEC_NAMES = "(SELECT id, name || ' ' || [" + ", ".join(f"'{x}'" for x in _EXTRA) + f"][CAST(id % {len(_EXTRA)} AS INT) + 1] AS name FROM products)"
 
-def _terms(terms: list[str]) -> str:
-    padded = "' ' || regexp_replace(lower(name), '[^0-9a-zà-öø-ÿœ_]', ' ', 'g') || ' '"
-    words = ", ".join(f"'{t}'" for t in terms)
-    return f"list_filter([{words}], lambda t: contains({padded}, ' ' || t || ' '))[1]"
 
+def _re(pattern: str, ignore: bool, n: str = "name", group: int = 0) -> str:
+    return f"nullif(trim(regexp_extract({n}, '{pattern.replace(chr(39), chr(39) * 2)}', {group}{', ' + chr(39) + 'i' + chr(39) if ignore else ''})), '')"
 
-_ASCII = ["volume", "dimensions", "diameter", "battery", "torque", "speed", "chuck", "teeth", "max_load", "pressure", "section", "ip_rating", "bit_type", "grain"]
 
+def _terms(terms: list[str], n: str) -> str:
+    padded = f"' ' || regexp_replace(lower({n}), '[^0-9a-zà-öø-ÿœ_]', ' ', 'g') || ' '"
+    words = ", ".join(f"'{t}'" for t in terms)
+    return f"list_filter([{words}], lambda t: contains({padded}, ' ' || t || ' '))[1]"
 
-@query("SELECT id, " + ", ".join(f"{_re(*S.PATTERNS[f])} AS {f}" for f in _ASCII) + " FROM products")
+
+def field_sql(which: str, n: str = "name") -> str:
+    """SQL of functions.specs.field."""
+    if which == "length":  # RE2 takes the end of ASCII letters for the end of a word: 50 mètres is no 50 m
+        return _re("(" + S.PATTERNS[which][0].removesuffix("\\b") + ")(?:$|[^\\p{L}\\p{N}_])", False, n, 1)
+    if which in S.PATTERNS:
+        return _re(*S.PATTERNS[which], f"lower({n})" if which in S.SMALL else n)
+    if which == "weight":
+        return f"coalesce({_re(S.WEIGHT_KG, True, n)}, {_re(S.WEIGHT_G, False, n)})"
+    if which == "power":
+        found = _re(S.POWER, False, n, 1)
+        return f"CASE WHEN TRY_CAST(regexp_extract({found}, '^[0-9]+', 0) AS INT) >= 10 THEN {found} END"
+    if which == "amperage":
+        return f"CASE WHEN {_re(*S.PATTERNS['battery'], n)} IS NULL THEN {_re(S.AMPERAGE, False, n)} END"
+    if which in ("color", "material"):
+        return _terms(S.longest_first(S.COLORS if which == "color" else S.MATERIALS), n)
+    if which == "finish":
+        term = _terms(S.FINISHES, n)
+        return f"CASE {term} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in S.FINISH_NAMES.items()) + f" ELSE {term} END"
+    edge = "[^\\p{L}\\p{N}_]"
+    test = (lambda p: f"regexp_matches(lower({n}), '(^|{edge}){p}($|{edge})')") if which == "tool_type" else (lambda p: f"contains(lower({n}), '{p}')")
+    return "CASE " + " ".join(f"WHEN {test(p)} THEN '{v}'" for p, v in S.LABELS[which]) + " END"
+
+
+def _fields_sql(fields: list[str]) -> str:
+    return "SELECT id, " + ", ".join(f"{field_sql(f)} AS {f}" for f in fields) + f" FROM {_SPEC_NAMES}"
+
+
+@query(_fields_sql(list(S.PATTERNS)))
 def specs_patterns(s, d):
-    return table(s, d, "products").select("id", *[S.field(F.col("name"), f).alias(f) for f in _ASCII])
+    return _spec_names(s, d).select("id", *[S.field(F.col("name"), f).alias(f) for f in S.PATTERNS])
 
 
-@query("SELECT id, coalesce(" + _re(S.WEIGHT_KG, True) + ", " + _re(S.WEIGHT_G, False) + ") AS weight, " + f"CASE WHEN TRY_CAST(regexp_extract(nullif(trim(regexp_extract(name, '{S.POWER}', 1)), ''), '^[0-9]+', 0) AS INT) >= 10 THEN trim(regexp_extract(name, '{S.POWER}', 1)) END AS power, CASE WHEN {_re(*S.PATTERNS['battery'])} IS NULL THEN {_re(S.AMPERAGE, False)} END AS amperage FROM products")
+@query(_fields_sql(["weight", "power", "amperage"]))
 def specs_power(s, d):
-    return table(s, d, "products").select("id", *[S.field(F.col("name"), f).alias(f) for f in ("weight", "power", "amperage")])
+    return _spec_names(s, d).select("id", *[S.field(F.col("name"), f).alias(f) for f in ("weight", "power", "amperage")])
 
 
-@query(f"SELECT id, {_terms(S.longest_first(S.COLORS))} AS color, {_terms(S.longest_first(S.MATERIALS))} AS material, CASE x " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in S.FINISH_NAMES.items()) + f" ELSE x END AS finish FROM (SELECT *, {_terms(S.FINISHES)} AS x FROM products)")
+@query(_fields_sql(["color", "material", "finish"]))
 def specs_terms(s, d):
-    return table(s, d, "products").select("id", *[S.field(F.col("name"), f).alias(f) for f in ("color", "material", "finish")])
+    return _spec_names(s, d).select("id", *[S.field(F.col("name"), f).alias(f) for f in ("color", "material", "finish")])
 
 
-def _labels(which: str) -> str:
-    return "CASE " + " ".join(f"WHEN contains(lower(name), '{p}') THEN '{v}'" for p, v in S.LABELS[which]) + f" END AS {which}"
+@query(_fields_sql(list(S.LABELS)))
+def specs_labels(s, d):
+    return _spec_names(s, d).select("id", *[S.field(F.col("name"), f).alias(f) for f in S.LABELS])
 
 
-@query("SELECT id, " + ", ".join(_labels(k) for k in S.LABELS) + " FROM products")
-def specs_labels(s, d):
-    return table(s, d, "products").select("id", *[S.field(F.col("name"), f).alias(f) for f in S.LABELS])
+@query(f"SELECT id, {field_sql('color', 'store_product_name')} AS color FROM store_listings")
+def single_color(s, d):
+    """The one colour a listing's name is compared by."""
+    return table(s, d, "store_listings").select("id", S.field(F.col("store_product_name"), "color").alias("color"))
 
 
 @query(None)
@@ -241,11 +282,18 @@ def specs_map(s, d):
 
 @query("""SELECT id, TRY_CAST(replace(nullif(regexp_extract(name, '([0-9]+(?:[.,][0-9]+)?)\\s*x\\s*([0-9]+(?:[.,][0-9]+)?)\\s*(?:x\\s*([0-9]+(?:[.,][0-9]+)?)\\s*)?(?:mm|cm|m)\\b', 1, 'i'), ''), ',', '.') AS DOUBLE) AS length,
 TRY_CAST(replace(nullif(regexp_extract(name, '([0-9]+(?:[.,][0-9]+)?)\\s*x\\s*([0-9]+(?:[.,][0-9]+)?)\\s*(?:x\\s*([0-9]+(?:[.,][0-9]+)?)\\s*)?(?:mm|cm|m)\\b', 2, 'i'), ''), ',', '.') AS DOUBLE) AS width,
-TRY_CAST(replace(nullif(regexp_extract(name, '([0-9]+(?:[.,][0-9]+)?)\\s*x\\s*([0-9]+(?:[.,][0-9]+)?)\\s*(?:x\\s*([0-9]+(?:[.,][0-9]+)?)\\s*)?(?:mm|cm|m)\\b', 3, 'i'), ''), ',', '.') AS DOUBLE) AS height FROM products""")
+TRY_CAST(replace(nullif(regexp_extract(name, '([0-9]+(?:[.,][0-9]+)?)\\s*x\\s*([0-9]+(?:[.,][0-9]+)?)\\s*(?:x\\s*([0-9]+(?:[.,][0-9]+)?)\\s*)?(?:mm|cm|m)\\b', 3, 'i'), ''), ',', '.') AS DOUBLE) AS height,
+TRY_CAST(replace(nullif(regexp_extract(name, '(?:ø|diam(?:etre)?\\.?\\s*)([0-9]+(?:[.,][0-9]+)?)\\s*(?:mm|cm)?\\b', 1, 'i'), ''), ',', '.') AS DOUBLE) AS diameter,
+TRY_CAST(replace(nullif(regexp_extract(name, '(?:ep\\.?|epaisseur)\\s*([0-9]+(?:[.,][0-9]+)?)\\s*(?:mm|cm)?\\b', 1, 'i'), ''), ',', '.') AS DOUBLE) AS thickness FROM (SELECT id, name || CASE id % 3 WHEN 0 THEN ' Ø12,5 mm EP. 3 mm' WHEN 1 THEN ' diam 40 epaisseur 1.5cm' ELSE '' END AS name FROM products)""")
 def dims_struct(s, d):
-    pattern = r"(?iu)([0-9]+(?:[.,][0-9]+)?)\s*x\s*([0-9]+(?:[.,][0-9]+)?)\s*(?:x\s*([0-9]+(?:[.,][0-9]+)?)\s*)?(?:mm|cm|m)\b"
-    part = lambda g: F.replace(F.nullif(F.regexp_extract("name", pattern, g), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
-    return table(s, d, "products").select("id", part(1).alias("length"), part(2).alias("width"), part(3).alias("height"))
+    number = r"([0-9]+(?:[.,][0-9]+)?)"
+    sides = rf"(?iu){number}\s*x\s*{number}\s*(?:x\s*{number}\s*)?(?:mm|cm|m)\b"
+    part = lambda p, g: F.replace(F.nullif(F.regexp_extract("name", p, g), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
+    more = F.when(F.col("id") % 3 == 0, " Ø12,5 mm EP. 3 mm").when(F.col("id") % 3 == 1, " diam 40 epaisseur 1.5cm").otherwise("")
+    return table(s, d, "products").select("id", F.concat("name", more).alias("name")).select(
+        "id", *[part(sides, g).alias(n) for g, n in enumerate(("length", "width", "height"), 1)],
+        part(rf"(?iu)(?:ø|diam(?:etre)?\.?\s*){number}\s*(?:mm|cm)?\b", 1).alias("diameter"), part(rf"(?iu)(?:ep\.?|epaisseur)\s*{number}\s*(?:mm|cm)?\b", 1).alias("thickness"),
+    )
 
 
 @query("""SELECT id, TRY_CAST(replace(nullif(regexp_extract(name, '([0-9]+(?:[.,][0-9]+)?)\\s*kg\\b', 1, 'i'), ''), ',', '.') AS DOUBLE) AS weight_kg, TRY_CAST(replace(nullif(regexp_extract(name, '([0-9]+(?:[.,][0-9]+)?)\\s*(?:l|litres?)(?:[^0-9A-Za-zÀ-ÿ_]|$)', 1, 'i'), ''), ',', '.') AS DOUBLE) AS volume_l,
@@ -255,28 +303,29 @@ def volume_weight(s, d):
     return table(s, d, "products").select("id", part("kg").alias("weight_kg"), part("(?:l|litres?)").alias("volume_l"), part("(?:m|metres?)").alias("length_m"))
 
 
-@query("""SELECT id, color IS NULL AS no_color, weight IS NULL AS no_weight FROM products WHERE specifications IS NULL""")
-def spec_backfill(s, d):
-    """Products without specifications, with what their name gives for empty fields; here whether fields were empty."""
-    rows = table(s, d, "products").filter("specifications is null")
-    filled = rows.withColumn("found", S.specs(F.col("name"))).withColumn("new_color", F.coalesce("color", F.try_element_at("found", F.lit("color"))))
-    return filled.select("id", F.col("color").isNull().alias("no_color"), F.col("weight").isNull().alias("no_weight"))
-
-
 def backfilled(products):
     """id, the found specs as JSON and the six columns they fill of products without specifications.
 
     A column that is null or empty takes the found value; specifications stay null where nothing was found.
     """
     rows = products.filter("specifications is null").withColumn("found", S.specs(F.col("name")))
-    filled = [F.coalesce(F.nullif(F.col(c), F.lit("")), F.try_element_at("found", F.lit(c)), F.col(c)).alias(c) for c in ("color", "volume", "weight", "dimensions", "finish", "pack_size")]
+    filled = [F.coalesce(F.nullif(F.col(c), F.lit("")), F.try_element_at("found", F.lit(c)), F.col(c)).alias(c) for c in BACKFILLED]
     return rows.select("id", F.when(F.size("found") > 0, F.to_json("found")).alias("specifications"), *filled)
 
 
+BACKFILLED = ("color", "volume", "weight", "dimensions", "finish", "pack_size")
+
+
+@query("SELECT id, coalesce(" + ", ".join(field_sql(f) for f in S.FIELDS) + ") IS NOT NULL AS has_specs, " + ", ".join(f"coalesce(nullif({c}, ''), {field_sql(c)}, {c}) AS {c}" for c in BACKFILLED) + " FROM products WHERE specifications IS NULL")
+def spec_backfill(s, d):
+    """Products without specifications: whether their name gives any, and the six columns after filling the empty ones."""
+    return backfilled(table(s, d, "products")).select("id", F.col("specifications").isNotNull().alias("has_specs"), *BACKFILLED)
+
+
 @query(None)
-def spec_backfill_filled(s, d):
-    """The whole backfill, what spec_backfill only asks for: found specs and the columns they fill."""
-    return backfilled(table(s, d, "products"))
+def spec_backfill_json(s, d):
+    """The specifications themselves, as JSON."""
+    return backfilled(table(s, d, "products")).select("id", "specifications")
 
 
 # --- linkage by name, categories ---
@@ -306,24 +355,3 @@ def token_sort_ratio(s, d):
     """Score of each product's name against its canonical name."""
     rows = table(s, d, "products").filter("name is not null and canonical_name is not null")
     return rows.select("id", F.round(L.ratio(F.lower("name"), F.lower("canonical_name")), 4).alias("score"))
-
-
-@query(None)
-def unmatch_bad(s, d):
-    """Listings of products with more than three whose fields contradict the product's name."""
-    return L.incompatible(table(s, d, "store_listings"), table(s, d, "products"))
-
-
-@query(None)
-def fix_matches(s, d):
-    """The listings detached by unmatch_bad, linked anew by EAN, then by reference."""
-    return L.relink(table(s, d, "store_listings"), table(s, d, "products"))
-
-
-def _rule_case(text: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({text}, '{p}') THEN '{c}'" for p, c in L.CATEGORY_RULES) + " END"
-
-
-@query(f"""SELECT p.id, {_rule_case("lower(p.name || coalesce(' ' || f.path, ''))")} AS slug FROM products p LEFT JOIN (SELECT product_id, arg_min(category_path, id) FILTER (WHERE category_path IS NOT NULL) AS path FROM store_listings GROUP BY 1) f ON f.product_id = p.id""")
-def categorize(s, d):
-    return L.categorize(table(s, d, "products"), table(s, d, "store_listings"))

@@ -96,7 +96,7 @@ def test_backfill(spark):
     got = {r.id: r for r in texts.backfilled(spark.createDataFrame(rows, "id long, name string, specifications string, color string, volume string, weight string, dimensions string, finish string, pack_size string")).collect()}
     assert set(got) == {1, 2, 4} and got[1][2:] == ("rouge", "2,5 L", "", None, "mat", None)
     assert '"volume":"2,5 L"' in got[1].specifications and '"finish":"mat"' in got[1].specifications and got[2].specifications is None and got[2].volume == "" and got[4][1:] == (None,) * 7
-    assert texts.spec_backfill_filled(spark, "/root/testdata/sf0.001").filter("specifications is not null").count() > 0
+    assert texts.spec_backfill_json(spark, "/root/testdata/sf0.001").filter("specifications is not null").count() > 0
 
 
 def test_missing_brands_are_searched_in_the_whole_list(spark, tmp_path):
@@ -104,7 +104,7 @@ def test_missing_brands_are_searched_in_the_whole_list(spark, tmp_path):
 
     rows = [(1, "Perceuse MAKITA 18V", None), (2, "lavabo Jacob Delafon", None), (3, "scie Black+Decker", "x"), (4, "ponceuse black+decker", None), (5, "vis", None), (6, None, None), (7, "Hansgrohe", None)]
     spark.createDataFrame(rows, "id long, name string, brand string").write.parquet(str(tmp_path / "products.parquet"))
-    got = {r.id: r.brand for r in texts.extract_brand_missing(spark, str(tmp_path)).collect()}
+    got = {r.id: r.brand for r in texts.extract_brand(spark, str(tmp_path)).collect()}
     assert got == {1: "Makita", 2: "Jacob Delafon", 4: "Black+Decker", 5: None, 6: None, 7: "Grohe"}
 
 
