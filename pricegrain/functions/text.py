@@ -114,6 +114,11 @@ def split_price(c: Column) -> Column:
     return F.coalesce(F.when(euros != "", F.concat(euros, F.lit("."), rest).try_cast("decimal(12,2)")), parse_price(c))
 
 
+def old_price(base: Column, net: Column, show_base: Column, show_discount: Column) -> Column:
+    """The base price where both flags show it and it is above the net price."""
+    return F.when(show_base & show_discount & (base > net), base)
+
+
 def url_join(base: Column, link: Column) -> Column:
     root = F.regexp_extract(base, r"^(https?://[^/]+)", 1)
     return (

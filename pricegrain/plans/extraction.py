@@ -21,6 +21,14 @@ def _products(s, d):
     return table(s, d, "products")
 
 
+def _escaped(c):
+    """A text as it stands in a page: signs and some accents as entities."""
+    out = F.coalesce(c, F.lit(""))
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"), ("é", "&eacute;"), ("²", "&sup2;")):
+        out = F.replace(out, F.lit(sign), F.lit(entity))
+    return out
+
+
 def _ld_page(s, d):
     """Pages with a breadcrumb and a product script, brand and image in several shapes."""
     price = F.col("min_price").cast("string")
@@ -29,7 +37,8 @@ def _ld_page(s, d):
     two = F.struct(F.lit("Product").alias("@type"), F.col("name"), F.col("slug").alias("sku"), F.col("ean").alias("gtin"), F.col("brand").alias("brand"), F.col("image_url").alias("image"), F.array(offer).alias("offers"))
     script = F.when(F.col("id") % 2 == 0, F.to_json(one)).otherwise(F.concat(F.lit("["), F.to_json(two), F.lit("]")))
     crumb = F.to_json(F.struct(F.lit("BreadcrumbList").alias("@type"), F.array(F.struct(F.lit("Accueil").alias("name")), F.struct(F.coalesce("unit", F.lit("")).alias("name")), F.struct(F.col("slug").alias("name"))).alias("itemListElement")))
-    head = F.concat(F.lit('<html><head><title>'), F.col("slug"), F.lit('</title><meta property="og:title" content="'), F.col("slug"), F.lit('"><meta content="'), F.coalesce(price, F.lit("")), F.lit('" property="product:price"></head><body><h1 class="t">'), F.col("slug"), F.lit("</h1>"))
+    shown = _escaped("name")
+    head = F.concat(F.lit('<html><head><title>'), shown, F.lit('</title><meta property="og:title" content="'), shown, F.lit('"><meta content="'), F.coalesce(price, F.lit("")), F.lit('" property="product:price"></head><body><h1 class="t">'), shown, F.lit("</h1>"))
     ld = lambda c: F.concat(F.lit('<script type="application/ld+json">'), c, F.lit(";</script>"))
     tail = F.concat(F.lit('<span itemprop="sku" content="'), F.col("slug"), F.lit('"></span><b itemprop="price">'), F.coalesce(price, F.lit("")), F.lit('</b><a href="/p/'), F.col("slug"), F.lit('">x</a><a href="/c/'), F.coalesce("unit", F.lit("u")), F.lit('">y</a><a href="/p/'), F.col("slug"), F.lit('">z</a></body></html>'))
     return _products(s, d).select("id", F.concat(head, ld(F.lit("{broken")), ld(crumb), ld(script), tail).alias("page"))
@@ -58,12 +67,13 @@ def jsonld_variants(s, d):
     return rows.select("id", "sku", "name", F.col("url").cast("long").alias("url"))
 
 
-@query("SELECT id, CAST(json_extract_string(specifications, '$.couleur') AS VARCHAR) AS couleur, CAST(json_extract_string(specifications, '$.gamme') AS VARCHAR) AS gamme FROM products WHERE specifications IS NOT NULL")
+@query("""SELECT id, k AS name, json_extract_string(specifications, '$."' || k || '"') AS value FROM (SELECT id, specifications, unnest(json_keys(specifications)) AS k FROM products WHERE specifications IS NOT NULL)""")
 def jsonld_props(s, d):
+    """All additional properties of each product, written as the list a page holds and read back as a map."""
     given = F.map_entries(F.from_json("specifications", "map<string,string>"))
     rows = _products(s, d).filter("specifications is not null").select("id", F.to_json(F.struct(F.lit("Product").alias("@type"), F.transform(given, lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value"))).alias("additionalProperty"))).alias("j"))
-    found = P.ld_objects(rows.select("id", F.concat(F.lit('<script type="application/ld+json">'), "j", F.lit("</script>")).alias("page")), "page", "Product").withColumn("m", P.ld_properties())
-    return found.select("id", F.try_element_at("m", F.lit("couleur")).alias("couleur"), F.try_element_at("m", F.lit("gamme")).alias("gamme"))
+    found = P.ld_objects(rows.select("id", F.concat(F.lit('<script type="application/ld+json">'), "j", F.lit("</script>")).alias("page")), "page", "Product")
+    return found.select("id", F.explode(P.ld_properties()).alias("name", "value"))
 
 
 @query("SELECT id, slug AS sku, CAST(min_price AS VARCHAR) AS price FROM products")
@@ -71,12 +81,12 @@ def microdata(s, d):
     return _ld_page(s, d).select("id", P.microdata(F.col("page"), "sku").alias("sku"), P.microdata(F.col("page"), "price").alias("price"))
 
 
-@query("SELECT id, slug AS title, CAST(min_price AS VARCHAR) AS price FROM products")
+@query("SELECT id, nullif(trim(name), '') AS title, CAST(min_price AS VARCHAR) AS price FROM products")
 def meta_fallback(s, d):
     return _ld_page(s, d).select("id", P.meta(F.col("page"), "og:title").alias("title"), P.meta(F.col("page"), "product:price").alias("price"))
 
 
-@query("SELECT id, slug AS title, slug AS h1 FROM products")
+@query("SELECT id, nullif(trim(name), '') AS title, nullif(trim(name), '') AS h1 FROM products")
 def page_title_h1(s, d):
     return _ld_page(s, d).select("id", P.heading(F.col("page"), "title").alias("title"), P.heading(F.col("page"), "h1").alias("h1"))
 
@@ -87,9 +97,9 @@ def page_links(s, d):
     return _ld_page(s, d).select("id", F.explode(F.slice(P.links(F.col("page")), 1, 30)).alias("link"))
 
 
-@query("SELECT id, 0 AS card, nullif(trim(slug), '') AS name, CAST(min_price AS VARCHAR) AS price FROM products UNION ALL SELECT id, 1, 'second', NULL FROM products")
+@query("SELECT id, 0 AS card, nullif(trim(name), '') AS name, CAST(min_price AS VARCHAR) AS price FROM products UNION ALL SELECT id, 1, 'second', NULL FROM products")
 def html_cards(s, d):
-    card = F.concat(F.lit('<ul><li class="card big"><span class="name"><b>'), "slug", F.lit('</b></span><br><i class="price">'), F.coalesce(F.col("min_price").cast("string"), F.lit("")), F.lit('</i></li><li class="card"><span class="name">second</span></li></ul>'))
+    card = F.concat(F.lit('<ul><li class="card big"><span class="name"><b>'), _escaped("name"), F.lit('</b></span><br><i class="price">'), F.coalesce(F.col("min_price").cast("string"), F.lit("")), F.lit('</i></li><li class="card"><span class="name">second</span></li></ul>'))
     return P.html_cards(_products(s, d).select("id", card.alias("page")), "id", "page", "card", {"name": "name", "price": "price"})
 
 
@@ -102,23 +112,23 @@ def js_state(s, d):
     return rows.select("id", P.get("$.articles[0].code").alias("code"), P.get("$.articles[0].net_price").try_cast("decimal(12,2)").alias("price"), F.try_variant_get("v", "$.articles[0].orderable", "boolean").alias("orderable"))
 
 
-@query("SELECT id, slug AS name FROM products")
+@query("SELECT id, nullif(trim(name), '') AS name FROM products")
 def next_data(s, d):
-    text = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">'), F.to_json(F.struct(F.struct(F.struct(F.struct(F.col("slug").alias("name")).alias("product")).alias("pageProps")).alias("props"))), F.lit("</script>"))
+    text = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">'), F.to_json(F.struct(F.struct(F.struct(F.struct("name").alias("product")).alias("pageProps")).alias("props"))), F.lit("</script>"))
     return _products(s, d).select("id", text.alias("page")).select("id", P.next_data(F.col("page")).alias("v")).select("id", P.get("$.props.pageProps.product.name").alias("name"))
 
 
-@query("SELECT id, slug AS sku, slug AS name, CAST(min_price AS DECIMAL(12,2)) AS price FROM products")
+@query("SELECT id, slug AS sku, nullif(trim(name), '') AS name, CAST(min_price AS DECIMAL(12,2)) AS price FROM products")
 def datalayer_items(s, d):
     price = F.col("min_price").cast("string")
-    a = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("slug").alias("id"), F.col("slug").alias("name"), price.alias("price"))).alias("impressions")).alias("ecommerce")))
-    b = F.to_json(F.struct(F.array(F.struct(F.col("slug").alias("item_id"), F.col("slug").alias("item_name"), price.alias("price"))).alias("productListItems")))
+    a = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("slug").alias("id"), "name", price.alias("price"))).alias("impressions")).alias("ecommerce")))
+    b = F.to_json(F.struct(F.array(F.struct(F.col("slug").alias("item_id"), F.col("name").alias("item_name"), price.alias("price"))).alias("productListItems")))
     return P.data_layer_items(_products(s, d).select("id", F.when(F.col("id") % 2 == 0, a).otherwise(b).alias("layer")), "layer")
 
 
-@query("SELECT id, slug AS label, CAST(id AS VARCHAR) AS value, 1 AS found FROM products")
+@query("SELECT id, name AS label, CAST(id AS VARCHAR) AS value, 1 AS found FROM products")
 def suggest_groups(s, d):
-    answer = F.to_json(F.struct(F.array(F.struct(F.col("slug").alias("label"), F.col("id").cast("string").alias("value"))).alias("compressedProducts"), F.lit(1).alias("numberOfFoundProducts")))
+    answer = F.to_json(F.struct(F.array(F.struct(F.col("name").alias("label"), F.col("id").cast("string").alias("value"))).alias("compressedProducts"), F.lit(1).alias("numberOfFoundProducts")))
     return P.suggest_rows(_products(s, d).select("id", answer.alias("r")), "r")
 
 
@@ -145,13 +155,88 @@ def sitemap_index(s, d):
     return named.join(P.sitemap_rows(maps, "xml", "map"), "map").select("store_id", "url")
 
 
-_FEED = """SELECT CAST(id AS VARCHAR) AS product_id, nullif(trim(slug), '') AS name, CAST(abs(min_price) AS DECIMAL(12,2)) AS price, nullif(trim(brand), '') AS brand, nullif(trim(ean), '') AS ean, 'EUR' AS currency, true AS in_stock FROM products"""
+@query(f"SELECT DISTINCT store_id, {_URL} AS url FROM store_listings WHERE {_URL} IS NOT NULL")
+def sitemap_gzip(s, d):
+    """Sitemaps as gzip files, at most 50,000 URLs each, read as bytes and inflated."""
+    path = f"{shared_folder(s)}/maps-{abs(hash((d, s.sparkContext.applicationId)))}"
+    line = F.concat(F.lit("<url><loc>"), F.replace(_URL, F.lit("&"), F.lit("&amp;")), F.lit("</loc><s>"), F.col("store_id").cast("string"), F.lit("</s></url>"))
+    table(s, d, "store_listings").filter(f"{_URL} is not null and store_id is not null").select(line.alias("value")).distinct().write.mode("overwrite").option("maxRecordsPerFile", 50_000).text(path, compression="gzip")
+    rows = P.read_files(s, path).select(F.explode(F.regexp_extract_all("text", F.lit(r"<loc>([^<]*)</loc><s>([0-9]*)</s>"), 0)).alias("x"))
+    return rows.select(F.regexp_extract("x", r"<s>([0-9]+)</s>", 1).cast("long").alias("store_id"), P.sitemap_locations(F.col("x"))[0].alias("url"))
+
+
+@query(f"SELECT store_id, {_URL} AS url FROM store_listings WHERE {_URL} IS NOT NULL")
+def sitemap_xpath(s, d):
+    """Well-formed sitemaps by a path over the parsed document."""
+    xml = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> '), F.replace(F.replace(_URL, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(" </loc></url></urlset>"))
+    rows = table(s, d, "store_listings").filter(f"{_URL} is not null").select("store_id", xml.alias("xml"))
+    return rows.select("store_id", F.explode(P.sitemap_nodes(F.col("xml"))).alias("url"))
+
+
+_LAST = "(SELECT max(last_scraped_at) FROM store_listings)"
+
+
+@query(f"""SELECT {_URL} AS url, max(last_scraped_at) AS fetched_at, arg_max(store_product_name, (last_scraped_at, sha256('<title>' || store_product_name || '</title>'))) AS title FROM store_listings
+WHERE {_URL} IS NOT NULL AND store_product_name IS NOT NULL AND epoch_us({_LAST}) - epoch_us(last_scraped_at) <= 7 * 86400000000 GROUP BY 1""")
+def captured_pages(s, d):
+    """The last capture of each page within a week of the newest one."""
+    rows = table(s, d, "store_listings").filter(f"{_URL} is not null and store_product_name is not null and last_scraped_at is not null")
+    captures = rows.select(F.col(_URL).alias("url"), F.encode(F.concat(F.lit("<title>"), "store_product_name", F.lit("</title>")), "UTF-8").alias("body"), F.col("last_scraped_at").alias("fetched_at"))
+    newest = table(s, d, "store_listings").agg(F.max("last_scraped_at")).head()[0]
+    return P.captured_pages(captures, F.lit(newest), 168).select("url", "fetched_at", F.regexp_extract("text", "(?s)<title>(.*)</title>", 1).alias("title"))
+
+
+_RAW = """'x = {"sku" : "' || slug || '", "name": "' || replace(coalesce(name, ''), '"', '') || '", "price":' || CASE WHEN id % 2 = 0 THEN '"' || coalesce(CAST(min_price AS VARCHAR), '') || '"' ELSE coalesce(CAST(min_price AS VARCHAR), '') END || '}'"""
+
+
+@query("SELECT id, CASE WHEN name <> '' AND min_price > 0 THEN replace(name, '\"', '') END AS name, CASE WHEN name <> '' AND min_price > 0 THEN slug END AS sku, CASE WHEN name <> '' AND min_price > 0 THEN CAST(min_price AS DECIMAL(12,2)) END AS price FROM products")
+def last_resort(s, d):
+    """Name, sku and price found by pattern in a page without any structure."""
+    price = F.coalesce(F.col("min_price").cast("string"), F.lit(""))
+    page = F.concat(F.lit('x = {"sku" : "'), "slug", F.lit('", "name": "'), F.replace(F.coalesce("name", F.lit("")), F.lit('"'), F.lit("")), F.lit('", "price":'), F.when(F.col("id") % 2 == 0, F.concat(F.lit('"'), price, F.lit('"'))).otherwise(price), F.lit("}"))
+    return _products(s, d).select("id", *[c.alias(n) for n, c in P.last_resort(page).items()])
+
+
+@query("""SELECT id, nullif(regexp_replace(store_manufacturer_ref, '^[\[\](){}]+|[\[\](){}]+$', '', 'g'), '') AS maker_ref, CAST(1200000 + id AS VARCHAR) AS article, CAST(id AS VARCHAR) AS ref, CASE WHEN regexp_full_match(store_ean, '[0-9]{13}') THEN store_ean END AS ean
+FROM store_listings WHERE NOT regexp_matches(coalesce(store_manufacturer_ref, ''), '\s') AND store_manufacturer_ref <> ''""")
+def page_labels(s, d):
+    """What stands behind the labels of a page's text."""
+    number = (F.col("id") + 1_200_000).cast("string")
+    spaced = F.concat(F.substring(number, 1, 4), F.lit(" "), F.substring(number, 5, 20))
+    text = F.concat(F.lit("Fabricant : ["), "store_manufacturer_ref", F.lit("] Art. N° "), spaced, F.lit(" / Réf. "), F.col("id").cast("string"), F.lit(" EAN: "), F.coalesce("store_ean", F.lit("-")), F.lit(" fin"))
+    rows = table(s, d, "store_listings").filter(r"store_manufacturer_ref != '' and not store_manufacturer_ref rlike '\\s'").select("id", text.alias("text"))
+    return rows.select("id", *[P.page_label(F.col("text"), w).alias(w) for w in P.PAGE_LABELS])
+
+
+@query("""SELECT id, 'https://shop.example/api?categoryFilter=' || f || '&pageIndex=' || n AS url FROM (SELECT id, substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21) AS f, unnest(generate_series(2, 1 + id % 5)) AS n
+FROM (SELECT id, md5(CAST(id AS VARCHAR)) AS m FROM categories))""")
+def page_pagination(s, d):
+    """The further pages of each category page, from its filter and number of pages."""
+    m = F.md5(F.col("id").cast("string"))
+    name = F.concat_ws("-", F.substring(m, 1, 8), F.substring(m, 9, 4), F.substring(m, 13, 4), F.substring(m, 17, 4), F.substring(m, 21, 20))
+    page = F.concat(F.lit("<script>x({categoryFilter: '"), name, F.lit("', totalPages: "), (1 + F.col("id") % 5).cast("string"), F.lit("})</script>"))
+    return P.further_pages(table(s, d, "categories").select("id", page.alias("page")), "page", "https://shop.example/api?categoryFilter={filter}&pageIndex={page}")
+
+
+@query("""SELECT DISTINCT 'https://shop.example/c/' || p.slug AS url, 'https://shop.example/c/' || p.slug || '/' || c.slug AS link FROM categories c JOIN categories p ON p.id = c.parent_id""")
+def subcategories(s, d):
+    """The links of each category's page that lead to its subcategories: no pages, blog, cart or the page itself."""
+    c = table(s, d, "categories").select("parent_id", F.col("slug").alias("child"))
+    rows = table(s, d, "categories").select(F.col("id").alias("parent_id"), F.concat(F.lit("https://shop.example/c/"), "slug").alias("url")).join(c, "parent_id")
+    links = ["{u}/{c}", "{u}", "{u}/", "/blog/{c}/x/y", "/checkout/a/b/{c}", "{u}/{c}.html", "{u}/{c}?p=2"]
+    fill = lambda t: F.replace(F.replace(F.lit(t), F.lit("{u}"), F.col("url")), F.lit("{c}"), F.col("child"))
+    html = F.concat(*[x for t in links for x in (F.lit('<a href="'), fill(t), F.lit('">x</a>'))])
+    rule = P.UrlRule(not_ends=".html", least_slashes=4, without=("/blog/", "/page/", "/checkout/", "?", "#"))
+    return P.subcategories(rows.select("url", html.alias("page")), "url", "page", rule)
+
+
+_FEED = """SELECT CAST(id AS VARCHAR) AS product_id, nullif(trim(name), '') AS name, CAST(abs(min_price) AS DECIMAL(12,2)) AS price, nullif(trim(brand), '') AS brand, nullif(trim(ean), '') AS ean, 'EUR' AS currency, true AS in_stock FROM products"""
 
 
 def _feed_file(s, d, kind):
     """A feed written to the shared folder, once for each folder of tables."""
     path = f"{shared_folder(s)}/feed-{kind}-{abs(hash((d, s.sparkContext.applicationId)))}"
-    rows = _products(s, d).select(F.col("id").alias("aw_product_id"), F.col("slug").alias("product_name"), F.col("min_price").cast("string").alias("search_price"), F.col("brand").alias("brand_name"), F.col("ean"))
+    rows = _products(s, d).select(F.col("id").alias("aw_product_id"), F.col("name").alias("product_name"), F.col("min_price").cast("string").alias("search_price"), F.col("brand").alias("brand_name"), F.col("ean"))
     if kind == "csv":
         rows.write.mode("overwrite").csv(path, header=True, escape='"')
     else:
@@ -225,6 +310,38 @@ def stream_price_changes(s, d):
     return ST.run_to_end(ST.changes(ST.event_stream(s, d)), "append")
 
 
+@query("SELECT DISTINCT event_id, user_id FROM events")
+def stream_dedup(s, d):
+    """A stream that brings every event twice, each let through once within the watermark."""
+    stream = ST.event_stream(s, d).select("event_id", "user_id", "ts")
+    return ST.run_to_end(ST.once(stream.unionByName(ST.event_stream(s, d).select("event_id", "user_id", "ts")), "event_id").select("event_id", "user_id"), "append")
+
+
+@query("""WITH w AS (SELECT event_type, value, time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMPTZ '2000-01-01 00:00:00+00') AS a FROM (SELECT *, ts::TIMESTAMPTZ AS t FROM events)),
+b AS (SELECT a AS start, event_type, value FROM w UNION ALL SELECT a - INTERVAL 12 HOUR, event_type, value FROM w)
+SELECT CAST(start AS TIMESTAMPTZ) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM b GROUP BY 1, 2""")
+def stream_sliding(s, d):
+    """Windows of a day that begin every twelve hours."""
+    return ST.run_to_end(ST.sliding(ST.event_stream(s, d)), "complete").withColumn("total", F.round("total", 4))
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 6 * 3600000000 THEN 0 ELSE 1 END AS begins FROM events),
+k AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM e)
+SELECT user_id, CAST(min(ts) AS TIMESTAMPTZ) AS start, count(*) AS n FROM k GROUP BY user_id, session""")
+def stream_sessions(s, d):
+    """Sessions of each user: events at most six hours apart."""
+    return ST.run_to_end(ST.sessions(ST.event_stream(s, d)), "complete")
+
+
+@query("""WITH RECURSIVE s AS (SELECT user_id, event_id AS id, epoch_us(ts) AS t FROM events),
+n AS (SELECT user_id, id, min({'t': t, 'id': id}) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 43200000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM s),
+a AS (SELECT user_id, arg_min(id, (t, id)) AS id FROM s GROUP BY 1 UNION ALL SELECT n.user_id, n.nxt.id FROM a JOIN n ON n.id = a.id WHERE n.nxt IS NOT NULL)
+SELECT user_id, id AS event_id FROM a""")
+def stream_freshness(s, d):
+    """The freshness rule as keyed state: an event within twelve hours of the user's last accepted one is skipped."""
+    return ST.run_to_end(ST.fresh(ST.event_stream(s, d)), "append")
+
+
 @query("""WITH RECURSIVE s AS (SELECT listing_id, id, epoch_us(scraped_at) AS t FROM price_history WHERE scraped_at IS NOT NULL AND listing_id IS NOT NULL),
 n AS (SELECT listing_id, id, min({'t': t, 'id': id}) OVER (PARTITION BY listing_id ORDER BY t RANGE BETWEEN 43200000000 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM s),
 a AS (SELECT listing_id, arg_min(id, (t, id)) AS id FROM s GROUP BY 1 UNION ALL SELECT n.listing_id, n.nxt.id FROM a JOIN n ON n.id = a.id WHERE n.nxt IS NOT NULL)

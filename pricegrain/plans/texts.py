@@ -9,6 +9,7 @@ from ..functions import specs as S
 from ..functions import text as T
 from ..operators import linkage as L
 from ..session import table
+from ..sources.pages import UrlRule
 from .registry import Registry
 
 query = Registry()
@@ -142,9 +143,11 @@ def split_price(s, d):
     return table(s, d, "store_listings").select("id", T.split_price(text).alias("price"))
 
 
-@query("SELECT id, CASE WHEN old_price > current_price THEN old_price END AS old_price FROM store_listings")
+@query("SELECT id, CASE WHEN in_stock AND id % 7 <> 0 AND old_price > current_price THEN old_price END AS old_price FROM store_listings")
 def old_price(s, d):
-    return table(s, d, "store_listings").select("id", F.when(F.col("old_price") > F.col("current_price"), F.col("old_price")).alias("old_price"))
+    """The price before: only if both flags to show it are set and it is above the price (here stock and the id stand for the flags)."""
+    rows = table(s, d, "store_listings")
+    return rows.select("id", T.old_price(F.col("old_price"), F.col("current_price"), F.col("in_stock"), F.col("id") % 7 != 0).alias("old_price"))
 
 
 _PATH = "regexp_replace(regexp_replace(store_product_url, '[?#].*$', ''), '/$', '')"
@@ -186,10 +189,13 @@ def url_keyword_filter(s, d):
     return table(s, d, "store_listings").filter(F.col("store_product_url").rlike("|".join(_KEYS))).select("id", "store_product_url")
 
 
-@query("""SELECT id, ends_with(store_product_url, '.html') AS page, CAST(len(string_split(store_product_url, '/')) - 1 AS INT) AS slashes, regexp_matches(store_product_url, '[0-9]') AS digits, NOT regexp_matches(store_product_url, '/(?:blog|aide|panier)/') AS shop FROM store_listings WHERE store_product_url IS NOT NULL""")
+@query("""SELECT id, ends_with(u, '.html') AS page, ends_with(u, '.html') AND slashes = 3 AND regexp_matches(u, '[0-9]{4,}') AS flat, NOT ends_with(u, '.html') AND slashes >= 4 AND NOT contains(u, '/blog/') AND NOT contains(u, '?') AS shop
+FROM (SELECT id, store_product_url AS u, len(string_split(store_product_url, '/')) - 1 AS slashes FROM store_listings WHERE store_product_url IS NOT NULL)""")
 def url_shape(s, d):
-    u = F.col("store_product_url")
-    return table(s, d, "store_listings").filter("store_product_url is not null").select("id", u.endswith(".html").alias("page"), (F.size(F.split(u, "/")) - 1).alias("slashes"), u.rlike("[0-9]").alias("digits"), (~u.rlike("/(?:blog|aide|panier)/")).alias("shop"))
+    """URLs against the shapes that three sources ask for."""
+    rules = {"page": UrlRule(ends=".html"), "flat": UrlRule(ends=".html", least_slashes=3, most_slashes=3, figures=4), "shop": UrlRule(not_ends=".html", least_slashes=4, without=("/blog/", "?"))}
+    rows = table(s, d, "store_listings").filter("store_product_url is not null")
+    return rows.select("id", *[r.fits(F.col("store_product_url")).alias(n) for n, r in rules.items()])
 
 
 # --- specifications ---

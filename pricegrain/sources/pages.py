@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import gzip
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..functions.text import blank_null, feed_price
+from ..functions.text import blank_null, feed_price, html_decode, url_join
 
 # --- fixed values: where feeds and data layers keep a field, in order ---
 FEED_ALIASES = {
@@ -36,6 +39,28 @@ def read_csv_feed(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return spark.read.csv(path, header=True, sep=sep, multiLine=True, escape='"', quote='"')
 
 
+def _inflated(bodies: pd.Series) -> pd.Series:
+    """Bytes as text: gzip inflated, UTF-8 with replacement of what is none."""
+    return bodies.map(lambda b: None if b is None else (gzip.decompress(b) if bytes(b[:2]) == b"\x1f\x8b" else bytes(b)).decode("utf-8", errors="replace"))
+
+
+def inflate(body: Column) -> Column:
+    return F.pandas_udf(_inflated, StringType())(body)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """path and text of captured files (sitemaps, pages), gzip or not; a file is one row, as the web's limits keep them small."""
+    return spark.read.format("binaryFile").load(path).select("path", inflate(F.col("content")).alias("text"))
+
+
+def captured_pages(captures: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+    """url, fetched_at and text of the last capture of each URL that is at most `hours` old; captures have url, body, fetched_at."""
+    age = F.unix_micros(now) - F.unix_micros("fetched_at")
+    recent = captures.filter((age >= 0) & (age <= hours * 3_600_000_000))
+    last = recent.groupBy("url").agg(F.max_by(F.struct("fetched_at", "body"), F.struct("fetched_at", F.sha2("body", 256))).alias("x"))
+    return last.select("url", "x.fetched_at", inflate(F.col("x.body")).alias("text"))
+
+
 def read_xml_feed(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
     """Every <product> element at any depth as a row of text columns; tag names folded to lower case and `_`."""
     schema = ", ".join(f"`{f}` string" for f in fields)
@@ -60,6 +85,11 @@ def sitemap_locations(xml: Column, pattern: str = ".*") -> Column:
     return F.filter(F.transform(found, lambda u: F.replace(u, F.lit("&amp;"), F.lit("&"))), lambda u: u.rlike(pattern))
 
 
+def sitemap_nodes(xml: Column) -> Column:
+    """The same by a path over the parsed document, for well-formed sitemaps of any namespace."""
+    return F.transform(F.xpath(xml, F.lit("//*[local-name()='loc']/text()")), lambda u: F.trim(u))
+
+
 def sitemap_rows(df: DataFrame, xml: str, key: str, pattern: str = ".*") -> DataFrame:
     return df.select(key, F.explode(sitemap_locations(F.col(xml), pattern)).alias("url"))
 
@@ -157,23 +187,83 @@ def suggest_rows(df: DataFrame, response: str) -> DataFrame:
 def microdata(page: Column, prop: str) -> Column:
     """The content attribute of an itemprop, else the text of its element."""
     content = F.regexp_extract(page, rf'(?is)itemprop="{prop}"[^>]*content="([^"]*)"', 1)
-    return F.coalesce(blank_null(content), blank_null(F.regexp_extract(page, rf'(?is)itemprop="{prop}"[^>]*>([^<]*)<', 1)))
+    return html_decode(F.coalesce(blank_null(content), blank_null(F.regexp_extract(page, rf'(?is)itemprop="{prop}"[^>]*>([^<]*)<', 1))))
 
 
 def meta(page: Column, name: str) -> Column:
     """og: or named meta tags, attributes in either order."""
     one = F.regexp_extract(page, rf'(?is)<meta[^>]*(?:property|name)="{name}"[^>]*content="([^"]*)"', 1)
-    return F.coalesce(blank_null(one), blank_null(F.regexp_extract(page, rf'(?is)<meta[^>]*content="([^"]*)"[^>]*(?:property|name)="{name}"', 1)))
+    return html_decode(F.coalesce(blank_null(one), blank_null(F.regexp_extract(page, rf'(?is)<meta[^>]*content="([^"]*)"[^>]*(?:property|name)="{name}"', 1))))
 
 
 def heading(page: Column, tag: str) -> Column:
-    return blank_null(F.regexp_replace(F.regexp_extract(page, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), "<[^>]*>", " "))
+    return html_decode(blank_null(F.regexp_replace(F.regexp_extract(page, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), "<[^>]*>", " ")))
 
 
 def links(page: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(page, F.lit(r'(?is)<a[^>]*href="([^"#]+)"'), 1))
 
 
+# --- fixed values: last resorts and labels in the text of a page ---
+LAST_RESORT = {"price": r'"price"\s*:\s*"?([0-9.]+)"?', "name": r'"name"\s*:\s*"([^"]+)"', "sku": r'"sku"\s*:\s*"([^"]+)"'}
+PAGE_LABELS = {"maker_ref": r"Fabricant\s*:\s*(\S+)", "article": r"Art\.\s*N[°o]\s*([0-9\s]+[0-9])", "ref": r"R[ée]f\.?\s*([0-9]+)", "ean": r"(?:EAN|GTIN)\s*:?\s*([0-9]{13})"}
+PAGES_OF, PAGES_TOTAL = r"categoryFilter:\s*'([0-9a-f-]{36})'", r"totalPages:\s*([0-9]+)"
+# --- end of fixed values ---
+
+
+def last_resort(page: Column) -> dict[str, Column]:
+    """name, sku and price found anywhere in the raw page; all null without a name and a price above 0."""
+    name, sku, price = (F.nullif(F.regexp_extract(page, LAST_RESORT[k], 1), F.lit("")) for k in ("name", "sku", "price"))
+    number = price.try_cast("decimal(12,2)")
+    good = name.isNotNull() & (number > 0)
+    return {"name": F.when(good, name), "sku": F.when(good, sku), "price": F.when(good, number)}
+
+
+def page_label(text: Column, which: str) -> Column:
+    """What stands behind a label of a page's text; brackets around a maker's reference are cut, spaces inside an article number."""
+    found = F.nullif(F.regexp_extract(text, PAGE_LABELS[which], 1), F.lit(""))
+    if which == "maker_ref":
+        return F.regexp_replace(found, r"^[\[\](){}]+|[\[\](){}]+$", "")
+    return F.replace(found, F.lit(" "), F.lit("")) if which == "article" else found
+
+
+def further_pages(df: DataFrame, page: str, address: str) -> DataFrame:
+    """A row for each page of a listing page from the second on, as `url`: `address` with {filter} and {page} replaced."""
+    name, total = F.regexp_extract(page, PAGES_OF, 1), F.regexp_extract(page, PAGES_TOTAL, 1).try_cast("int")
+    known = df.withColumn("_n", F.when(name != "", total)).filter("_n > 1")
+    each = known.withColumn("_p", F.explode(F.sequence(F.lit(2), "_n")))
+    url = F.replace(F.replace(F.lit(address), F.lit("{filter}"), name), F.lit("{page}"), F.col("_p").cast("string"))
+    return each.withColumn("url", url).drop("_n", "_p", page)
+
+
+@dataclass(frozen=True)
+class UrlRule:
+    """Shape of the URLs of one source that are wanted: end, number of slashes, figures, and parts that must not be in it."""
+
+    ends: str = ""
+    not_ends: str = ""
+    least_slashes: int = 0
+    most_slashes: int = 1_000
+    figures: int = 0  # so many figures in a row
+    without: tuple[str, ...] = ()
+
+    def fits(self, url: Column) -> Column:
+        slashes = F.size(F.split(url, "/")) - 1
+        ok = url.endswith(self.ends) & (slashes >= self.least_slashes) & (slashes <= self.most_slashes)
+        ok = ok & url.rlike(f"[0-9]{{{self.figures},}}") if self.figures else ok
+        ok = ok & ~url.endswith(self.not_ends) if self.not_ends else ok
+        for part in self.without:
+            ok = ok & ~F.contains(url, F.lit(part))
+        return ok
+
+
+def subcategories(df: DataFrame, url: str, page: str, rule: UrlRule) -> DataFrame:
+    """The links of a page, joined to its URL, that lead to another page of the wanted shape, each once."""
+    links_ = df.select(F.col(url), F.explode(links(F.col(page))).alias("_l")).withColumn("link", url_join(F.col(url), F.col("_l")))
+    other = F.regexp_replace("link", "/+$", "") != F.regexp_replace(url, "/+$", "")
+    return links_.filter(rule.fits(F.col("link")) & other).select(url, "link").distinct()
+
+
 class _Cards(HTMLParser):
     """Cards: elements whose class names the card; in them the text of elements whose class names a field."""
 

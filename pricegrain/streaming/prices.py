@@ -24,6 +24,43 @@ def tumbling(stream: DataFrame, width: str = "1 day", late: str = "1 hour") -> D
     return rows.select(F.col("window.start").alias("day"), "event_type", "n", "total")
 
 
+def sliding(stream: DataFrame, width: str = "1 day", step: str = "12 hours", late: str = "1 hour") -> DataFrame:
+    rows = stream.withWatermark("ts", late).groupBy(F.window("ts", width, step), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return rows.select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+def sessions(stream: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
+    """user_id, start and n of the runs of a user's events that are at most `gap` apart."""
+    rows = stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return rows.select("user_id", F.col("session_window.start").alias("start"), "n")
+
+
+def once(stream: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
+    """Each key's first row within the watermark; the state of older keys is dropped."""
+    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+
+
+def fresh(stream: DataFrame, hours: int = 12) -> DataFrame:
+    """user_id, event_id of events that come at least `hours` after the user's last accepted one, kept as state across batches.
+
+    Inside a micro-batch rows are ordered by time and id; a late row is held against the last accepted time and skipped.
+    """
+    span = hours * 3_600_000_000
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(["t", "event_id"])
+        due, out = (state.get[0] if state.exists else -(2**62)), []
+        for event, t in zip(rows["event_id"].tolist(), rows["t"].tolist(), strict=True):
+            if t >= due:
+                out.append((key[0], event))
+                due = t + span
+        state.update((due,))
+        yield pd.DataFrame(out, columns=["user_id", "event_id"])
+
+    keyed = stream.filter("ts is not null").select("user_id", "event_id", F.unix_micros("ts").alias("t")).groupBy("user_id")
+    return keyed.applyInPandasWithState(run, "user_id long, event_id long", "due long", "append", GroupStateTimeout.NoTimeout)
+
+
 def changes(stream: DataFrame) -> DataFrame:
     """user_id, event_id, value where the value differs from the user's one before, kept as state across batches.
 
