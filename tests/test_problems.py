@@ -94,6 +94,20 @@ def test_a_figure_alone_takes_the_unit_stated_elsewhere(spark):
     assert not [k for k in got if k[0] in (4, 5)]
 
 
+def test_masked_units_are_found(spark):
+    got = units.masked_accuracy(spark.read.parquet("/root/testdata/sf0.1/products.parquet"))
+    assert got["accuracy"] >= 0.98 and got["confident"] >= 0.6 and got["overall"] >= 0.9
+    assert units.isotonic([(0.1, 1, 9), (0.2, 0, 4), (0.5, 9, 9), (0.6, 8, 9)]) == [(0.1, 1 / 14), (0.5, 17 / 19)]
+    assert units.isotonic([]) == []
+
+
+def test_of_several_stated_units_the_likelier_one_confirms(spark):
+    rows = [(f"{n} L", None, None, "", None) for n in (1, 2, 3, 5, 10) for _ in range(30)] + [(f"{n} ml", None, None, "", None) for n in (250, 400, 500, 750, 900) for _ in range(30)]
+    rows += [("750", None, None, "Contient 750 l pour le bac, soit 750 ml par pot.", None)]
+    got = quantities(spark, rows)
+    assert got[len(rows), "volume"] == (750, "confirmed")
+
+
 def test_unit_labels(spark):
     labels = {
         "€/kg": ("per_kg", 1250), "€ HT / tonne": ("per_kg", 1), "€ les 100g": ("per_kg", 12500), "€/100 ml": ("per_l", 12500), "€/ml": ("per_m", 1250), "€/m lin.": ("per_m", 1250),
