@@ -273,13 +273,15 @@ def train_unit_model(rows: DataFrame, rules: UnitRules = UnitRules()) -> UnitMod
     """The classifier from rows whose field states one unit, by whatever unit they state.
 
     A held-out fifth calibrates it: the largest vote is binned, and the share of right answers of the bins, made
-    monotone (isotonic regression), is the probability. Without two classes there is no model.
+    monotone (isotonic regression), is the probability. Without two classes, or with fewer rows than a nominal
+    feature has values, there is no model.
     """
     labelled = rows.filter(F.col("units").isNotNull() & (F.size(F.array_distinct("units")) == 1)).withColumn("label", _class_of(F.element_at("units", 1)).cast("double")).filter("label is not null")
     sample = _features(labelled.orderBy(F.xxhash64("id", "field"), "id", "field").limit(rules.sample)).select("id", "label", *FEATURES).cache()
     try:
         held = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(5)) == 0
-        if sample.filter(~held).select("label").distinct().count() < 2:
+        n, classes = sample.filter(~held).agg(F.count(F.lit(1)), F.count_distinct("label")).head()
+        if classes < 2 or n < max(NOMINAL.values()) + 2:
             return None
         forest = RandomForestClassifier(numTrees=rules.trees, maxDepth=rules.depth, seed=rules.seed, maxBins=max(NOMINAL.values()) + 2)
         model = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(sample.filter(~held))
