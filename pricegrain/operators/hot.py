@@ -19,7 +19,7 @@ from ..session import BROADCAST_ROWS, written
 HOT_SHARE = 1 / 500
 HOT_ROWS = 2_000_000
 #: At most so many keys are hot; beyond HOT_KEYS * HOT_ROWS rows a key is hot from that part of all rows on.
-HOT_KEYS = 20_000
+HOT_KEYS = 5_000
 #: Rows of a hot key that one block should hold, and most blocks of a key (beyond, its blocks are larger).
 BLOCK_ROWS = 50_000
 MOST_BLOCKS = 1_000
@@ -73,7 +73,7 @@ def find_blocks(df: DataFrame, key: str, time: str, min_rows: int | None = None)
     min_rows = BLOCK_ROWS if min_rows is None else min_rows
     kind = df.schema[key].dataType.simpleString()
     least = F.greatest(F.lit(min_rows), F.least(F.col("n") * HOT_SHARE, F.greatest(F.lit(HOT_ROWS), F.col("n") / HOT_KEYS)))
-    seen = df.agg(F.expr(f"approx_top_k({key}, {HOT_KEYS}, {2 * HOT_KEYS})").alias("top"), F.count(F.lit(1)).alias("n"), F.count_if(F.col(key).isNull()).alias("none"))
+    seen = df.agg(F.expr(f"approx_top_k({key}, {HOT_KEYS}, {4 * HOT_KEYS})").alias("top"), F.count(F.lit(1)).alias("n"), F.count_if(F.col(key).isNull()).alias("none"))
     found = seen.select(F.filter("top", lambda x: x["item"].isNotNull() & (x["count"] >= least)).alias("top"), F.when(F.col("none") >= least, F.col("none")).alias("none")).head()
     counts = {x["item"]: x["count"] for x in found["top"] or []} | ({None: found["none"]} if found["none"] else {})
     if not counts:
