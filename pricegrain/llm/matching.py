@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,9 @@ from .survivors import usable_brand, usable_ean
 
 ACCENTS = ("àâäáãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 SIGNATURE = ["kind", "brand", "range", "suffix", "sizes", "traits", "pack"]
-NODE = "node long, kind string, brand string, range string, suffix string, sizes string, traits string, pack string, n long"
+#: What a node is compared by: hashes of its parts, 0 for a part it does not say.
+PARTS = ["block", "brand_h", "range_h", "suffix_h", "finish", "form", "other"]
+MOST_BRANDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -35,8 +38,11 @@ def _words(names: Column) -> Column:
 
 
 def vocabulary(listings: DataFrame, products: DataFrame, rules: MatchRules) -> tuple[frozenset, dict[str, str]]:
-    """(common words of names, first word of a brand -> brand), bounded by the share asked for and by 1,000 brands."""
-    known = products.filter(usable_brand("brand")).groupBy(F.trim(F.lower("brand")).alias("b")).count().orderBy(F.desc("count"), "b").limit(1_000).collect()
+    """(common words of names, first word of a brand -> brand), bounded by the share asked for and by MOST_BRANDS.
+
+    Brands beyond that bound, the least frequent, are read as words of a range.
+    """
+    known = products.filter(usable_brand("brand")).groupBy(F.trim(F.lower("brand")).alias("b")).count().orderBy(F.desc("count"), "b").limit(MOST_BRANDS).collect()
     brands: dict[str, str] = {}
     for r in known:  # brands by falling frequency; of two with one first word the more frequent
         name = re.sub(r"[^a-z ]", "", re.sub(r" (?:sas|sarl|sa)$", "", fold(r["b"])))
@@ -45,10 +51,11 @@ def vocabulary(listings: DataFrame, products: DataFrame, rules: MatchRules) -> t
             brands.setdefault(first, name)
     n = listings.count()
     named = listings.select(_words(F.col("store_product_name")).alias("words"))
-    brand = F.try_element_at(F.array_intersect("words", F.array(*[F.lit(b) for b in brands]).cast("array<string>")), F.lit(1))
-    words = named.select(F.explode("words").alias("w"), brand.alias("brand")).groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("brand").alias("brands"))
+    brand = F.xxhash64(F.try_element_at(F.filter("words", lambda w: w.isin(list(brands))), F.lit(1))) if brands else F.lit(None).cast("long")
+    known_brand = F.when(F.exists("words", lambda w: w.isin(list(brands))), brand) if brands else brand
+    words = named.select("words", known_brand.alias("brand")).select(F.explode("words").alias("w"), "brand").groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min("brand").alias("low"), F.max("brand").alias("high"))
     # a word that goes with one brand only is a range, however many listings one item has
-    several = F.lit(len(brands) < 3) | (F.col("brands") >= 2)
+    several = F.lit(len(brands) < 3) | (F.col("low") != F.col("high"))
     common = frozenset(r["w"] for r in words.filter((F.col("n") >= max(rules.least, rules.share * n)) & several).collect())
     return common, brands
 
@@ -72,37 +79,6 @@ def read(listings: DataFrame, common: frozenset, brands: dict[str, str]) -> Data
     return spread(raw).mapInPandas(run, "id long, ean string, ref string, kind string, brand string, range string, suffix string, sizes string, traits string, pack string")
 
 
-def agree(a: dict, b: dict, coded: bool) -> int:
-    """2: the same item; 1: nothing speaks against it but one says less; 0: not the same.
-
-    Soft token alignment: kind, sizes and pack must agree, range words may differ by a slip of the pen (two where
-    all else agrees), brand and traits where both have them. With the same code (`coded`) saying less is enough.
-    """
-    if a["kind"] != b["kind"] or a["sizes"] != b["sizes"] or a["pack"] != b["pack"]:
-        return 0
-    full = True
-    if a["brand"] != b["brand"]:
-        if a["brand"] and b["brand"]:
-            return 0
-        full = bool(a["range"] and b["range"])
-    if a["range"] != b["range"]:
-        if a["range"] and b["range"]:
-            if not near(a["range"], b["range"]) and not (a["brand"] and a["brand"] == b["brand"] and a["traits"] == b["traits"] and _two_slips(a["range"], b["range"])):
-                return 0
-        else:
-            full = False
-    if a["suffix"] != b["suffix"] and a["range"] and b["range"]:
-        return 0
-    if a["traits"] != b["traits"]:
-        x, y = set(a["traits"].split()), set(b["traits"].split())
-        colour = FINISHES | FORMS
-        for p, q in ((x & FINISHES, y & FINISHES), (x & FORMS, y & FORMS), (x - colour, y - colour)):
-            if p != q and p and q:
-                return 0
-        full = False
-    return 2 if full or coded else 1
-
-
 def _two_slips(a: str, b: str) -> bool:
     """At most two edits apart, for words of eight letters or more."""
     if min(len(a), len(b)) < 7 or abs(len(a) - len(b)) > 2:
@@ -119,37 +95,95 @@ def _two_slips(a: str, b: str) -> bool:
     return row[-1] <= 2
 
 
-def _slide(window: int):
-    """Pairs of a sorted partition within the window, and its first and last rows for the seams."""
+_ROW = ["pass", "node", "complete", "n", "code", *PARTS]
+_EDGE = "a long, b long, w int, a_complete int, b_complete int, a_n long, b_n long"
+_SLID = f"{_EDGE}, part int, pass int, key string, node long, complete int, n long, code long, {', '.join(f'{p} long' for p in PARTS)}, range string"
+_SLID_ARROW = pa.schema([(f.split()[0], {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[f.split()[1]]) for f in _SLID.split(", ")])
+
+
+def _compare(c: dict[str, np.ndarray], words: list[str], begin: int, window: int) -> dict[str, np.ndarray]:
+    """Agreeing pairs of rows at most `window` apart whose later row is at `begin` or after; w as in `neighbours`.
+
+    Soft token alignment: kind, sizes and pack must agree, range words may differ by a slip of the pen (two where
+    all else agrees), brand and traits where both have them. With the same code saying less is enough. Rows with a
+    `part` are compared with those of other parts only.
+    """
+    found = []
+    for k in range(1, window + 1):
+        i = np.arange(max(begin, k), len(words))
+        a = i - k
+        ok = (c["pass"][a] == c["pass"][i]) & (c["block"][a] == c["block"][i]) & (c["code"][a] == c["code"][i]) & (c["node"][a] != c["node"][i])
+        if "part" in c:
+            ok &= c["part"][a] != c["part"][i]
+        a, i = a[ok], i[ok]
+        same = {p: c[p][a] == c[p][i] for p in PARTS}
+        ok = np.ones(len(a), dtype=bool)
+        for p in ("brand_h", "finish", "form", "other"):
+            ok &= same[p] | (c[p][a] == 0) | (c[p][i] == 0)
+        both = (c["range_h"][a] != 0) & (c["range_h"][i] != 0)
+        ok &= same["suffix_h"] | ~both
+        traits = same["finish"] & same["form"] & same["other"]
+        for x in np.nonzero(ok & both & ~same["range_h"])[0]:
+            one, two = words[a[x]], words[i[x]]
+            ok[x] = near(one, two) or (same["brand_h"][x] and c["brand_h"][a[x]] != 0 and traits[x] and _two_slips(one, two))
+        full = (same["brand_h"] | both) & (same["range_h"] | both) & traits
+        w = np.where(full | (c["code"][a] != 0), 2, 1)
+        found.append({"a": c["node"][a[ok]], "b": c["node"][i[ok]], "w": w[ok], **{f"{s}_{n}": c[n][x[ok]] for s, x in (("a", a), ("b", i)) for n in ("complete", "n")}})
+    return {n: np.concatenate([f[n] for f in found]) for n in found[0]}
+
+
+def _slide(window: int, seams: bool):
+    """Pairs of a sorted partition within the window; with `seams` its first and last rows too, which meet those of other partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: deque = deque(maxlen=window)
-        first: list[dict] = []
+        part = TaskContext.get().partitionId()
+        names = [*_ROW, *([] if seams else ["part"])]
+        tail: pa.Table | None = None
+        first: pa.Table | None = None
         for batch in batches:
-            found = []
-            for row in batch.to_pylist():
-                coded = row["pass"] >= 10
-                for other in recent:
-                    if other["pass"] == row["pass"] and other["node"] != row["node"] and (not coded or other["key"] == row["key"]):
-                        w = agree(other, row, coded)
-                        if w:
-                            found.append({"a": other["node"], "b": row["node"], "w": w, "a_complete": other["complete"], "b_complete": row["complete"], "a_n": other["n"], "b_n": row["n"]})
-                recent.append(row)
-                if len(first) < window:
-                    first.append(row)
-            yield pa.RecordBatch.from_pylist(found, schema=_PAIRS_ARROW)
-        seams = {(r["pass"], r["key"], r["node"]): {**r, "w": -1} for r in [*first, *recent]}
-        yield pa.RecordBatch.from_pylist(list(seams.values()), schema=_PAIRS_ARROW)
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            begin = tail.num_rows if tail is not None else 0
+            table = pa.concat_tables([tail, table]) if tail is not None else table
+            columns = {n: table.column(n).to_numpy() for n in names}
+            found = _compare(columns, table.column("range").to_pylist(), begin, window)
+            n = len(found["a"])
+            yield pa.RecordBatch.from_arrays([pa.array(found[f.name], f.type) if f.name in found else pa.nulls(n, f.type) for f in _SLID_ARROW], schema=_SLID_ARROW)
+            if seams:
+                head = table.slice(begin)
+                first = head if first is None else first if first.num_rows >= window else pa.concat_tables([first, head])
+                first = first.slice(0, 2 * window)
+            tail = table.slice(max(0, table.num_rows - window))
+        if seams and first is not None:
+            # of a short partition the first rows are all there are
+            edge = first if first.num_rows < 2 * window else pa.concat_tables([first.slice(0, window), tail])
+            n = edge.num_rows
+            own = {"w": pa.array([-1] * n, pa.int32()), "part": pa.array([part] * n, pa.int32())}
+            for b in pa.table({f.name: own[f.name] if f.name in own else edge.column(f.name).cast(f.type) if f.name in edge.column_names else pa.nulls(n, f.type) for f in _SLID_ARROW}, schema=_SLID_ARROW).to_batches():
+                yield b
 
     return run
 
 
-_PAIRS = "a long, b long, w int, b_complete int, a_complete int, b_n long, a_n long, pass int, key string, " + NODE + ", complete int"
-_PAIRS_ARROW = pa.schema([(f.split()[0], {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[f.split()[1]]) for f in _PAIRS.split(", ")])
+def with_parts(nodes: DataFrame) -> DataFrame:
+    """Nodes with the hashes they are compared by."""
+    said = lambda c: F.when(c != "", F.xxhash64(c)).otherwise(F.lit(0).cast("long"))
+    traits = F.filter(F.split("traits", " "), lambda t: t != "")
+    of = lambda words: F.concat_ws(" ", F.filter(traits, lambda t: t.isin(sorted(words))))
+    colour = F.concat_ws(" ", F.filter(traits, lambda t: ~t.isin(sorted(FINISHES | FORMS))))
+    return nodes.select(
+        "*", F.xxhash64("kind", "sizes", "pack").alias("block"), *[said(F.col(c)).alias(f"{c}_h") for c in ("brand", "range", "suffix")],
+        said(of(FINISHES)).alias("finish"), said(of(FORMS)).alias("form"), said(colour).alias("other"),
+    )
 
 
 def neighbours(nodes: DataFrame, codes: DataFrame, rules: MatchRules) -> DataFrame:
-    """(a, b, w, ...) of agreeing nodes that are neighbours in a pass; w as in `agree`."""
+    """(a, b, w, ...) of agreeing nodes that are neighbours in a pass; w 2: the same item, 1: nothing speaks against it but one says less.
+
+    The last rows of a partition meet the first ones of the next in a table of two windows a partition, so what is
+    compared does not depend on the partitions.
+    """
     order = lambda *c: F.concat_ws("|", *c)
     keys = [
         (0, order("range", "kind", "sizes", "pack", "traits", "brand")),
@@ -157,16 +191,17 @@ def neighbours(nodes: DataFrame, codes: DataFrame, rules: MatchRules) -> DataFra
         (2, order("kind", "sizes", "pack", F.reverse("range"), "traits")),
         (3, order("kind", "brand", F.array_join(F.array_sort(F.array_distinct(F.split("range", ""))), ""), "sizes", "pack", "traits")),
     ]
-    named = nodes.filter("range != ''").select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("pass"), key.alias("key")) for k, key in keys])).alias("x")).select("x.pass", "x.key", *nodes.columns)
-    unnamed = nodes.filter("range = ''").select(F.lit(1).alias("pass"), keys[1][1].alias("key"), *nodes.columns)
-    rows = named.unionByName(unnamed).unionByName(codes.select("pass", "key", *nodes.columns))
-    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(tasks, "pass", "key", "kind", "sizes", "pack", "node").sortWithinPartitions("pass", "key", "kind", "sizes", "pack", "node")
-    found = written(ordered.mapInArrow(_slide(rules.window), _PAIRS))
-    # the first and last rows of all partitions, a bounded number a partition, slide once more across the seams
-    seams = found.filter("w = -1").select("pass", "key", *nodes.columns)
-    across = seams.coalesce(1).sortWithinPartitions("pass", "key", "kind", "sizes", "pack", "node").mapInArrow(_slide(rules.window), _PAIRS)
-    edges = found.filter("w > 0").unionByName(across.filter("w > 0"))
+    columns = ["node", "complete", "n", *PARTS, "range"]
+    none = F.lit(0).cast("long").alias("code")
+    named = nodes.filter("range != ''").select(*columns, none, F.explode(F.array(*[F.struct(F.lit(k).alias("pass"), key.alias("key")) for k, key in keys])).alias("x")).select("x.pass", "x.key", "code", *columns)
+    unnamed = nodes.filter("range = ''").select(F.lit(1).alias("pass"), keys[1][1].alias("key"), none, *columns)
+    coded = codes.select("pass", order("key", "kind", "sizes", "pack").alias("key"), F.xxhash64("key").alias("code"), *columns)
+    rows = named.unionByName(unnamed).unionByName(coded)
+    ordered = rows.repartitionByRange("pass", "key", "node").sortWithinPartitions("pass", "key", "node")
+    found = written(ordered.mapInArrow(_slide(rules.window, True), _SLID))
+    seams = found.filter("w = -1").select("part", "pass", "key", "code", *columns)
+    across = seams.coalesce(1).sortWithinPartitions("pass", "key", "node").mapInArrow(_slide(rules.window, False), _SLID)
+    edges = found.filter("w > 0").unionByName(across)
     both = edges.select("a", "b", "w", "a_complete", "b_complete", "a_n", "b_n").unionByName(
         edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w", F.col("b_complete").alias("a_complete"), F.col("a_complete").alias("b_complete"), F.col("b_n").alias("a_n"), F.col("a_n").alias("b_n"))
     )
@@ -236,24 +271,28 @@ def group(listings: DataFrame, products: DataFrame, rules: MatchRules = MatchRul
     """(id, cluster) of every listing: the same cluster for listings of the same item.
 
     Listings whose names read alike make one node; nodes are compared in several sorted passes (orders of the
-    parts, and EAN and reference) and clustered. A listing with a null or blank name, or one that names no
-    kind, is compared by nothing and stays alone; a null code is no code; an empty table gives no rows.
+    parts, and EAN and reference) and clustered. A name that says neither range nor brand is one item with its like
+    only where they share a usable code. A listing with a null name, or one without any word, is compared by nothing
+    and stays alone; a null code is no code; an empty table gives no rows.
     """
     common, brands = vocabulary(listings, products, rules)
     rows = written(read(listings, common, brands))
     named = rows.filter("kind != ''")
     complete = (F.when(F.col("range") != "", 4).otherwise(0) + F.when(F.col("brand") != "", 1).otherwise(0) + F.size(F.split("traits", " ")) * F.when(F.col("traits") != "", 1).otherwise(0) * 2).cast("int")
-    nodes = written(named.groupBy(*SIGNATURE).agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")).withColumn("complete", complete))
+    nodes = written(with_parts(named.groupBy(*SIGNATURE).agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")).withColumn("complete", complete)))
     # what says nothing but its kind is not one item because it reads alike
     vague = (F.col("range") == "") & (F.col("brand") == "")
     codes = [
-        named.filter(f"{c} is not null").groupBy(F.lit(k).alias("pass"), F.col(c).alias("key"), *SIGNATURE).agg(F.min("id").alias("node_"))
+        named.filter(f"{c} is not null").filter(~vague).select(F.lit(k).alias("pass"), F.col(c).alias("key"), *SIGNATURE).distinct()
         for k, c in ((10, "ean"), (11, "ref"))
     ]
-    each = codes[0].unionByName(codes[1]).drop("node_").join(nodes, SIGNATURE)
+    each = written(codes[0].unionByName(codes[1]).join(nodes, SIGNATURE))
     of = closed(nodes.filter(~vague), each, rules)
     placed = nodes.filter(~vague).join(of, "node", "left").select(*SIGNATURE, F.coalesce("pivot", "node").alias("cluster"))
-    return rows.join(placed, SIGNATURE, "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+    code = F.coalesce("ean", "ref")
+    bare = named.filter(vague & code.isNotNull()).groupBy(*SIGNATURE, code.alias("code")).agg(F.min("id").alias("cluster_by_code"))
+    joined = rows.withColumn("code", F.when(vague, code)).join(placed, SIGNATURE, "left").join(bare, [*SIGNATURE, "code"], "left")
+    return joined.select("id", F.coalesce("cluster", "cluster_by_code", "id").alias("cluster"))
 
 
 def pairs(groups: DataFrame) -> DataFrame:

@@ -30,6 +30,9 @@ FORMS = {"high", "low", "cascade", "left", "right", "reversible"}
 SUFFIXES = {"eco", "premium", "plus", "evo", "basic"}
 # --- end of fixed values ---
 
+#: word -> rank of its kind
+_KIND_OF = {w: i for i, (_, words) in reversed(list(enumerate(KINDS))) for w in words}
+_MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
 KNOWN = {w for _, words in KINDS for w in words} | set(TRAITS) | SUFFIXES
 
 _N = r"(\d+(?:\.\d+)?)"
@@ -66,7 +69,7 @@ class Article:
 def fold(text: str) -> str:
     """Lower case without accents and entities; figures with points, `x` between them."""
     text = unicodedata.normalize("NFKD", html.unescape(text).lower().replace("×", "x").replace("œ", "oe").replace("²", "2").replace(" ", " ").replace("\xa0", " "))
-    text = "".join(c for c in text if not unicodedata.combining(c))
+    text = _MARKS.sub("", text)
     text = re.sub(r"(?<=\d),(?=\d)", ".", text)
     text = re.sub(r"(?<=\d) (?=\d{3}(?:\D|$)\s?(?:ml|g|mm))", "", text)
     return re.sub(r"\s+", " ", text).strip()
@@ -80,7 +83,8 @@ def _num(x: str) -> str:
 def read_name(name: str | None, common: frozenset, brands: dict[str, str]) -> Article:
     """Parts of a name. `common` are the words many names have, `brands` folded brand words -> brand.
 
-    What is neither common nor a figure is the range; several such words are joined.
+    What is neither common nor a figure is the range; several such words are joined. A name without a known kind is
+    of the kind of its first common word; one without any word has no kind.
     """
     text = _PROMO.sub(" ", fold(name or ""))
     sizes: list[tuple[str, str]] = []
@@ -120,7 +124,11 @@ def read_name(name: str | None, common: frozenset, brands: dict[str, str]) -> Ar
         take(pattern, lambda m, what=what, table=table: sizes.append((what, _num(str(float(m[1]) * table[m[2]])) if table else _num(m[1]))))
     words = re.findall(r"[a-z]+", text)
     present = set(words)
-    kind = next((k for k, keys in KINDS if any(w in present for w in keys)), "")
+    rank = min((_KIND_OF[w] for w in words if w in _KIND_OF), default=None)
+    if rank is not None:
+        kind = KINDS[rank][0]
+    else:
+        kind = next((f"other: {w}" for w in words if w in common and len(w) >= 4 and w not in TRAITS), "other" if words else "")
     if kind == "glue" and "carrelage" in present:
         kind = "tile adhesive"
     traits = {TRAITS[w] for w in words if w in TRAITS}

@@ -26,6 +26,8 @@ FOLDER = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Length of a chunk, and how far it reaches into the next (code points).
 CHUNK, OVERLAP = 8_192, 512
+#: Chunks of long texts that one task takes.
+TASK_CHUNKS = 512
 #: Pre-tokens whose ids a worker keeps, and the longest that is kept; beyond, they are encoded again.
 KEPT, KEPT_LENGTH = 500_000, 64
 
@@ -136,10 +138,10 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str =
             yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_key"), batch.column("at"), result(_coded(batch.column("piece").to_pylist(), ids))], ["_row", "_key", "at", value])
 
     schema = f"_row long, _key {key_kind}, at int"
-    cuts = written(rows.mapInArrow(cut, f"{schema}, part string, {value} {kind}"))
+    cuts, seen = written(rows.mapInArrow(cut, f"{schema}, part string, {value} {kind}"), {"chunks": F.count("part")})
     short = cuts.filter("part is null").select(F.col("_key").alias(key), value)
     chunks = cuts.filter("part is not null").select("_row", "_key", "at", "part")
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-seen["chunks"] // TASK_CHUNKS))
     apart = lambda c: c.repartition(tasks, "_row", "at")
     marks = apart(chunks.select("_row", "at", "part")).mapInArrow(marked, "_row long, at int, starts array<int>, reach array<int>")
     order = Window.partitionBy("_row").orderBy("at")

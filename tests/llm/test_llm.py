@@ -202,3 +202,20 @@ def test_scores_of_odd_documents(spark):
     assert [rows[i].score for i in (1, 2, 3)] == [None] * 3 and not any(r.is_abusive for r in rows.values())
     assert {(r.source, r.documents) for r in abuse.rates(abuse.score_documents(documents, labels)).collect()} == {("s", 4), (None, 1)}
     assert abuse.score_documents(documents.limit(0), labels.limit(0)).count() == 0
+
+
+def test_clusters_do_not_depend_on_partitions_and_kinds_are_learnt(spark):
+    rng = random.Random(3)
+    rows = [(i, f"{rng.choice(['Brouette', 'Vernis parquet', 'Seau maçon'])} {rng.choice([80, 100, 120])} L {rng.choice(['Brumac', 'Ostrane', 'Tiravex', ''])} {rng.choice(['zorubal', 'zorubla', 'milenad', 'pastorel', 'gidomur'])}", None, None) for i in range(1, 400)]
+    rows += [(900, "Brouette 100 L Brumac zorubal", None, None), (901, "Brouette 100 L Brumac zorubal", None, None), (902, "Article", "2946391575964", None), (903, "Article", "2946391575964", None), (904, "Article", None, None), (905, "Article", "2953318235740", None)]
+    df = spark.createDataFrame(rows, "id long, store_product_name string, store_ean string, store_manufacturer_ref string")
+    products = spark.createDataFrame([(b,) for b in ("Brumac", "Ostrane", "Tiravex") * 3], "brand string")
+    got = []
+    for parts in ("3", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got.append({r.id: r.cluster for r in matching.group(df, products, matching.MatchRules(window=3, share=0.05, least=8)).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got[0] == got[1] and len(set(got[0].values())) > 10
+    assert got[0][900] == got[0][901] and got[0][902] == got[0][903] != got[0][905] and len({got[0][i] for i in (902, 904, 905)}) == 3
