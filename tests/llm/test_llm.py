@@ -207,7 +207,7 @@ def test_scores_of_odd_documents(spark):
 def test_clusters_do_not_depend_on_partitions_and_kinds_are_learnt(spark):
     rng = random.Random(3)
     rows = [(i, f"{rng.choice(['Brouette', 'Vernis parquet', 'Seau maçon'])} {rng.choice([80, 100, 120])} L {rng.choice(['Brumac', 'Ostrane', 'Tiravex', ''])} {rng.choice(['zorubal', 'zorubla', 'milenad', 'pastorel', 'gidomur'])}", None, None) for i in range(1, 400)]
-    rows += [(900, "Brouette 100 L Brumac zorubal", None, None), (901, "Brouette 100 L Brumac zorubal", None, None), (902, "Article", "2946391575964", None), (903, "Article", "2946391575964", None), (904, "Article", None, None), (905, "Article", "2953318235740", None)]
+    rows += [(900, "Brouette 100 L Brumac zorubal", None, None), (901, "Brouette 100 L Brumac zorubal", None, None), (902, "Vernis", "2946391575964", None), (903, "Vernis", "2946391575964", None), (904, "Vernis", None, None), (905, "Vernis", "2953318235740", None)]
     df = spark.createDataFrame(rows, "id long, store_product_name string, store_ean string, store_manufacturer_ref string")
     products = spark.createDataFrame([(b,) for b in ("Brumac", "Ostrane", "Tiravex") * 3], "brand string")
     got = []
