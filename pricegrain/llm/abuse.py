@@ -108,10 +108,11 @@ class AbuseRules:
     rounds: int = 3
     folds: int = 3
     margin: float = 0.15  # least score of a toxic window in training
-    flat: float = 0.005  # F1 that may be given up for a higher threshold
+    flat: float = 0.005  # F1 that separates the cuts taken for equal
+    height: float = 0.65  # where in their range the threshold is taken
     prior: tuple[float, float] = (0.45, 5.0)  # a cautious threshold, and how many abusive texts it counts as
-    rare: float = 0.0008  # words in at most this share of the texts are mostly names
-    support: float = 0.004  # share of the abusive texts a word must be in to speak against a window
+    rare: float = 0.0006  # words in at most this share of the texts are mostly names
+    support: float = 0.003  # share of the abusive texts a word must be in to speak against a window
 
 
 @dataclass
@@ -167,9 +168,9 @@ def fit(texts: list[str], abusive: list[bool], rules: AbuseRules = AbuseRules())
     (log odds over documents, by words with enough support), as ordinary if it is from another text and its words
     do not lean. In each round both dictionaries are trained; windows of abusive texts whose words lean and that
     the toxic one shortens more join it, and those it no longer shortens leave; windows of other texts that it
-    shortens more are misjudged and leave the ordinary one. The threshold is the highest one with nearly the best
-    F1 over all documents, each scored by dictionaries trained without it (cross-validation), drawn to a cautious
-    prior that counts as a few abusive texts; the last training is on all.
+    shortens more are misjudged and leave the ordinary one. The threshold is among those with nearly
+    the best F1 over all documents, each scored by dictionaries trained without it (cross-validation), drawn to a
+    cautious prior that counts as a few abusive texts; the last training is on all.
     """
     known: dict = {}
     split = [windows(t, known) for t in texts]
@@ -227,8 +228,9 @@ def fit(texts: list[str], abusive: list[bool], rules: AbuseRules = AbuseRules())
         if s != following or k == len(top):
             cuts.append((2 * hit / (k + total), (s + following) / 2))
     model = train(list(range(len(texts))))
-    # F1 is flat around its best: the highest cut there leaves most room above ordinary text
-    best = max((cut for f1, cut in cuts if f1 >= max(cuts)[0] - rules.flat), default=0.0)
+    # F1 is flat around its best; judged documents are richer in abuse than others, so the cut is above the middle of that range
+    flat = [cut for f1, cut in cuts if f1 >= max(cuts)[0] - rules.flat] or [0.0]
+    best = min(flat) + rules.height * (max(flat) - min(flat))
     cautious, weight = rules.prior
     model.threshold = (total * max(best, 0.0) + weight * cautious) / (total + weight)
     return model
