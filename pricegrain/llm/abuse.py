@@ -83,9 +83,14 @@ def windows(text: str, known: dict | None = None) -> list[str]:
     for sentence in _BREAK.split(text):
         if sentence and not sentence.isspace():
             sentence = _FIGURE.sub("0", sentence)
-            own = known.get(sentence)
-            if own is None:
-                own = known[sentence] = _of_sentence(sentence)
+            found = known.get(sentence)
+            if found is None:
+                own = _of_sentence(sentence)
+                found = known[sentence] = (own, any(len(w.encode()) < LEAST_BYTES for w in own))
+            own, has_short = found
+            if not short and not has_short:
+                out += own
+                continue
             for w in own:
                 w = f"{short} {w}" if short else w
                 short = w if len(w.encode()) < LEAST_BYTES else ""
