@@ -111,6 +111,26 @@ def as_of(observations: DataFrame, probes: DataFrame, key: str, time: str, value
     return filled.filter("probe_id is not null").select("probe_id", key, F.col("_t").alias(at), F.col("_last.v").alias(value))
 
 
+def most_frequent(df: DataFrame, column: str):
+    """The most frequent non-null value, of ties the least; null for an empty table."""
+    top = df.filter(F.col(column).isNotNull()).groupBy(column).count().orderBy(F.desc("count"), column).head()
+    return top[0] if top else None
+
+
+def product_page(products: DataFrame, listings: DataFrame, price: tuple | None = None, category: int | None = None, brand: str | None = None, store: int | None = None, page: int = 1, size: int = 50) -> DataFrame:
+    """One page of products by lowest price (null last) and id, of a price range, category, brand and store where given."""
+    rows = products
+    if price is not None:
+        rows = rows.filter(F.col("min_price").between(*price))
+    if category is not None:
+        rows = rows.filter(F.col("category_id") == category)
+    if brand is not None:
+        rows = rows.filter(F.col("brand") == brand)
+    if store is not None:
+        rows = rows.join(listings.filter(F.col("store_id") == store).select(F.col("product_id").alias("id")), "id", "left_semi")
+    return rows.select("id", "name", "min_price").orderBy(F.asc_nulls_last("min_price"), "id").offset((page - 1) * size).limit(size)
+
+
 def insert_ignore(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     """The target with the rows of the source whose key it does not have; of equal keys in the source the first."""
     fresh = first_per(source, [key], [F.col(c).cast("string") for c in source.columns if c != key])

@@ -51,19 +51,19 @@ def satellite(obs: DataFrame, attributes: list[str], hot_rows: int | None = None
     return rows.filter("before is null or before != hash_diff").select("key", "t", "kind", "id", "hash_diff", *attributes)
 
 
-def append(existing: DataFrame, obs: DataFrame, attributes: list[str]) -> DataFrame:
+def append(existing: DataFrame, obs: DataFrame, attributes: list[str], hot_rows: int | None = None) -> DataFrame:
     """Rows to append to a satellite for later observations; existing rows are never changed.
 
     Observations not later than the key's last row are ignored (send late rows through `satellite` again).
     """
     last = existing.groupBy("key").agg(F.max(F.struct("t", "kind", "id", "hash_diff")).alias("last"))
-    news = satellite(obs, attributes).join(last, "key", "left")
-    late = F.struct("t", "kind", "id") <= F.struct("last.t", "last.kind", "last.id")
-    later = news.filter(F.col("last").isNull() | ~late)
-    first = F.row_number().over(Window.partitionBy("key").orderBy("t", "kind", "id")) == 1
-    return later.withColumn("_first", first).filter(~F.col("_first") | F.col("last").isNull() | (F.col("hash_diff") != F.col("last.hash_diff"))).select(
-        "key", "t", "kind", "id", "hash_diff", *attributes
-    )
+    at = F.struct("t", "kind", "id")
+    later = obs.join(last, "key", "left").filter(F.col("last").isNull() | (at > F.struct("last.t", "last.kind", "last.id"))).select(obs.columns)
+    news = satellite(later, attributes, hot_rows)
+    first = news.groupBy("key").agg(F.min(at).alias("first"))
+    known = first.join(last, "key").select("key", "first", F.col("last.hash_diff").alias("known"))  # one row a key
+    same = (at == F.col("first")) & (F.col("hash_diff") == F.col("known"))
+    return news.join(known, "key", "left").filter(~F.coalesce(same, F.lit(False))).select("key", "t", "kind", "id", "hash_diff", *attributes)
 
 
 def periods(rows: DataFrame, attributes: list[str | Column], hot_rows: int | None = None) -> DataFrame:
@@ -86,8 +86,14 @@ def price_versions(history: DataFrame, listings: DataFrame, hot_rows: int | None
     return satellite(observations(history, listings), ["price"], hot_rows, replace(blocks, key="key"))
 
 
-def listing_details(listings: DataFrame) -> DataFrame:
-    """The satellite of the slow-changing attributes, from the snapshot."""
-    slow = ["store_product_name", "unit_label", "in_stock", "category_path", "image_url"]
-    obs = listings.select(F.col("id").alias("key"), F.col("last_scraped_at").alias("t"), F.lit(1).alias("kind"), "id", *slow)
-    return satellite(obs, slow)
+#: The attributes of a listing that change slowly.
+SLOW = ["store_product_name", "unit_label", "in_stock", "category_path", "image_url"]
+
+
+def listing_details(*snapshots: DataFrame) -> DataFrame:
+    """The satellite of the slow-changing attributes, from snapshots of the listings."""
+    obs = [s.select(F.col("id").alias("key"), F.col("last_scraped_at").alias("t"), F.lit(1).alias("kind"), "id", *SLOW) for s in snapshots]
+    rows = obs[0]
+    for o in obs[1:]:
+        rows = rows.unionByName(o)
+    return satellite(rows, SLOW)

@@ -255,11 +255,27 @@ def union_links(s, d):
 _OFFERS = "SELECT l.product_id, l.store_id, l.current_price, l.id FROM store_listings l WHERE product_id IS NOT NULL AND current_price > 0"
 
 
-@query("""SELECT p.id, p.name, p.min_price FROM products p WHERE p.min_price BETWEEN 5 AND 100 AND p.brand IS NOT NULL ORDER BY p.min_price, p.id LIMIT 50 OFFSET 50""")
+_BIGGEST = {c: f"(SELECT {c} FROM {t} WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)" for c, t in (("category_id", "products"), ("store_id", "store_listings"), ("brand", "products"))}
+
+
+@query("SELECT p.id, p.name, p.min_price FROM products p WHERE p.min_price BETWEEN 5 AND 1000 ORDER BY p.min_price, p.id LIMIT 50 OFFSET 50")
 def product_list(s, d):
     """Page 2 of the products in a price range, 50 a page."""
-    rows = table(s, d, "products").filter("min_price between 5 and 100 and brand is not null").select("id", "name", "min_price")
-    return rows.orderBy("min_price", "id").offset(50).limit(50)
+    return C.product_page(table(s, d, "products"), table(s, d, "store_listings"), price=(5, 1000), page=2)
+
+
+@query(f"""SELECT p.id, p.name, p.min_price FROM products p WHERE p.min_price BETWEEN 1 AND 10000 AND p.category_id = {_BIGGEST["category_id"]} ORDER BY p.min_price, p.id LIMIT 50""")
+def product_list_category(s, d):
+    """The first page of the largest category."""
+    products = table(s, d, "products")
+    return C.product_page(products, table(s, d, "store_listings"), price=(1, 10000), category=C.most_frequent(products, "category_id"))
+
+
+@query(f"""SELECT p.id, p.name, p.min_price FROM products p WHERE p.brand = {_BIGGEST["brand"]} AND p.id IN (SELECT product_id FROM store_listings WHERE store_id = {_BIGGEST["store_id"]}) ORDER BY p.min_price NULLS LAST, p.id LIMIT 50""")
+def product_list_store(s, d):
+    """The first page of the commonest brand's products that the largest store holds."""
+    products, listings = table(s, d, "products"), table(s, d, "store_listings")
+    return C.product_page(products, listings, brand=C.most_frequent(products, "brand"), store=C.most_frequent(listings, "store_id"))
 
 
 @query("""SELECT p.id, p.name, l.id AS listing_id, l.store_id, l.current_price FROM products p LEFT JOIN store_listings l ON l.product_id = p.id WHERE p.slug = (SELECT min(slug) FROM products)""")

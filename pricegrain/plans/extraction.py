@@ -197,8 +197,8 @@ def last_resort(s, d):
     return _products(s, d).select("id", *[c.alias(n) for n, c in P.last_resort(page).items()])
 
 
-@query("""SELECT id, nullif(regexp_replace(store_manufacturer_ref, '^[\[\](){}]+|[\[\](){}]+$', '', 'g'), '') AS maker_ref, CAST(1200000 + id AS VARCHAR) AS article, CAST(id AS VARCHAR) AS ref, CASE WHEN regexp_full_match(store_ean, '[0-9]{13}') THEN store_ean END AS ean
-FROM store_listings WHERE NOT regexp_matches(coalesce(store_manufacturer_ref, ''), '\s') AND store_manufacturer_ref <> ''""")
+@query("""SELECT id, nullif(regexp_replace(store_manufacturer_ref, '^[\\[\\](){}]+|[\\[\\](){}]+$', '', 'g'), '') AS maker_ref, CAST(1200000 + id AS VARCHAR) AS article, CAST(id AS VARCHAR) AS ref, CASE WHEN regexp_full_match(store_ean, '[0-9]{13}') THEN store_ean END AS ean
+FROM store_listings WHERE NOT regexp_matches(coalesce(store_manufacturer_ref, ''), '\\s') AND store_manufacturer_ref <> ''""")
 def page_labels(s, d):
     """What stands behind the labels of a page's text."""
     number = (F.col("id") + 1_200_000).cast("string")

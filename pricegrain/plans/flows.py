@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import catalog as C
 from ..operators import flows as W
 from ..operators import linkage as L
-from ..functions import specs as S
-from ..session import table
+from ..session import shared_folder, table
+from ..sources import sinks as K
 from .registry import Registry
 from .texts import field_sql
 
@@ -250,6 +251,24 @@ def shard_chunk(s, d):
     return W.shard(table(s, d, "products").select("id"), "id", 7)
 
 
+@query("SELECT id, name, brand FROM products")
+def sink_snapshot(s, d):
+    """Products written as two versions of a snapshot; the last whole one is read."""
+    at = f"{shared_folder(s)}/sink-{uuid.uuid4().hex}"
+    rows = table(s, d, "products").select("id", "name", "brand")
+    K.write_snapshot(rows.filter("brand is not null"), at)
+    K.write_snapshot(rows, at)
+    return K.read_snapshot(s, at)
+
+
+@query("SELECT id, store_id, CAST(current_price AS VARCHAR) AS current_price, store_product_name FROM store_listings")
+def sink_backup(s, d):
+    """Listings written as a backup of JSON lines and read again."""
+    at = f"{shared_folder(s)}/backup-{uuid.uuid4().hex}"
+    K.write_backup(table(s, d, "store_listings").select("id", "store_id", F.col("current_price").cast("string").alias("current_price"), "store_product_name"), at)
+    return s.read.schema("id long, store_id long, current_price string, store_product_name string").json(at)
+
+
 @query(None)
 def daily_run(s, d):
     """The rows each stage of the daily run writes."""

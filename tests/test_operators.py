@@ -200,3 +200,79 @@ def test_freshness_of_a_hot_burst(spark, monkeypatch):
             want.add(i)
     assert {r.id for r in prices.accepted(df, 12, 100).collect()} == want
     assert prices.accepted(df.limit(0)).count() == 0
+
+
+def test_ingest(spark):
+    from pricegrain.operators import flows
+
+    now = datetime(2024, 6, 1, 12)
+    schema = "id long, product_id long, store_id long, store_sku string, store_product_url string, store_product_name string, current_price decimal(10,2), old_price decimal(10,2), unit_price decimal(10,2), unit_label string, in_stock boolean, store_ean string, store_manufacturer_ref string, image_url string, category_path string, last_scraped_at timestamp, action string"
+    row = lambda i, store, sku, price, t: (i, 5, store, sku, f"u{i}", f"old {i}", None if price is None else Decimal(price), Decimal("9.99"), None, None, True, None, None, None, None, t, "x")
+    listings = [row(1, 1, "a", "1.00", now - timedelta(days=2)), row(2, 1, "b", "2.00", now - timedelta(hours=3)), row(3, 1, None, "3.00", None), row(4, 1, "c", "4.00", None), row(5, 2, "a", "0.00", now - timedelta(days=2))]
+    stores = spark.createDataFrame([(1, "shop", "north"), (2, "shop", "south"), (3, "other", None)], "id long, chain string, name string")
+    items_schema = "item_id long, store_chain string, store_name string, store_sku string, store_product_url string, store_product_name string, current_price decimal(10,2), unit_price decimal(10,2), unit_label string, in_stock boolean, store_ean string, store_manufacturer_ref string, image_url string, category_path string, id long"
+    item = lambda i, chain, name, sku, price, url="https://x.example/p": (i, chain, name, sku, url, f"new {i}", Decimal(price), None, "kg", False, "e", "r", "i", "c", 0)
+    items = [item(1, "shop", "north", "a", "1.50"), item(2, "shop", "north", "a", "1.75"), item(3, "shop", "north", "b", "9.00"), item(4, "shop", "nowhere", "c", "4.00"), item(5, "shop", "south", "a", "5.00"), item(6, "gone", None, "z", "1.00"), item(7, "shop", "north", "", "7.00"), item(8, "shop", "south", None, "8.00", None), item(9, "shop", None, "d", "6.00")]
+    out = flows.ingest(spark.createDataFrame(listings, schema), stores, spark.createDataFrame(items, items_schema), now).collect()
+    got = {(r.store_id, r.store_sku): (r.action, r.changed, str(r.current_price), r.store_product_name, r.store_product_url) for r in out}
+    assert len(out) == 8 and got == {
+        (1, "a"): ("updated", True, "1.50", "new 1", "u1"), (1, "b"): ("kept", False, "2.00", "old 2", "u2"), (1, None): ("kept", False, "3.00", "old 3", "u3"),
+        (1, "c"): ("updated", False, "4.00", "new 4", "u4"), (2, "a"): ("updated", True, "5.00", "new 5", "u5"), (1, "https://x.example/p"): ("inserted", True, "7.00", "new 7", "https://x.example/p"),
+        (2, "unknown"): ("inserted", True, "8.00", "new 8", None), (1, "d"): ("inserted", True, "6.00", "new 9", "https://x.example/p"),
+    }
+    assert all(str(r.old_price) == "9.99" for r in out if r.id) and {r.last_scraped_at for r in out if r.action != "kept"} == {now}
+    empty = flows.ingest(spark.createDataFrame([], schema), stores, spark.createDataFrame([], items_schema), now)
+    assert empty.count() == 0
+
+
+def test_feeds_and_copies(spark):
+    from pricegrain.operators import flows
+
+    stores = spark.createDataFrame([(4, "shop"), (2, "shop"), (9, "other")], "id long, chain string")
+    listings = spark.createDataFrame([(1, 2, "a", "A", None, Decimal("1.00")), (2, 2, "b", "B", None, None), (3, 4, "c", "C", None, Decimal("1.00"))], "id long, store_id long, store_sku string, store_product_name string, store_ean string, current_price decimal(10,2)")
+    feed = [(1, "A2", "a", None, "1.00"), (2, "B2", "b", None, "2.00"), (3, "N", "n", "12345678901234", "3.00"), (4, "N2", "n", None, "4.00"), (5, "X", None, None, "5.00"), (6, "X", "", None, "5.00"), (7, None, "q", None, "1.00"), (8, "Q", "q", None, None), (9, "L" * 300, "k" * 60, None, "1.00")]
+    rows = spark.createDataFrame([(*f[:4], None if f[4] is None else Decimal(f[4])) for f in feed], "row long, name string, sku string, ean string, price decimal(10,2)")
+    got = sorted((r.sku or "", r.name[:5], r.action, str(r.price), r.ean, r.store_id) for r in flows.import_feed(listings, stores, rows, "shop").collect())
+    assert got == sorted([("a", "A", "kept", "1.00", None, 2), ("b", "B", "updated", "2.00", None, 2), ("n", "N", "inserted", "4.00", "1234567890123", 2), ("", "X", "inserted", "5.00", None, 2), ("", "X", "inserted", "5.00", None, 2), ("k" * 50, "LLLLL", "inserted", "1.00", None, 2)])
+    assert {r.store_id for r in flows.import_feed(listings, stores, rows, "new").collect()} == {10}
+    target = spark.createDataFrame([(1, 1)], "id long, in_stock int")
+    source = spark.createDataFrame([("1", "0"), ("2", "1"), ("2", "1"), ("x", "1"), ("3", "ja"), (None, "1"), ("4", None)], "id string, in_stock string")
+    after, bad = flows.copy_rows(target, source, "id", {"id": "bigint", "in_stock": "int"})
+    assert sorted((r.id, r.in_stock) for r in after.collect()) == [(1, 1), (2, 1), (4, None)] and sorted(r.reason for r in bad.collect()) == ["id", "id", "in_stock"]
+    report = flows.copy_report(target, source, "id", {"id": "bigint", "in_stock": "int"}).head()
+    assert (report.before, report.read, report.quarantined, report.added, report.ignored, report.after) == (1, 7, 3, 2, 2, 3)
+    shards = {r.id: (r.at, r.shard) for r in flows.shard(spark.createDataFrame([(i * 3,) for i in range(10)], "id long"), "id", 4).collect()}
+    assert [shards[i * 3][1] for i in range(10)] == [0, 0, 1, 1, 2, 2, 3, 3, 3, 3]
+    assert {r.shard for r in flows.shard(spark.createDataFrame([(1,), (2,)], "id long"), "id", 4).collect()} == {0, 1}
+
+
+def test_propagation_and_categories(spark):
+    from pricegrain.operators import flows
+
+    products = spark.createDataFrame([(1, "", None, None, "rouge", None, None, None, None), (2, "B", "d", None, None, None, None, None, None), (3, None, None, None, None, None, None, None, None)], "id long, brand string, description string, volume string, color string, weight string, dimensions string, pack_size string, finish string")
+    items = spark.createDataFrame([(1, 2, "Vernis 5 L noir mat", "M2", "late"), (1, 1, "Vernis 2,5 L bleu", None, ""), (2, 3, "Colle 4 kg", "M", "x"), (None, 4, "Colle", "M", "x")], "product_id long, item_id long, product_name string, manufacturer string, description string")
+    got = {r.id: r for r in flows.propagate(products, items).collect()}
+    assert (got[1].brand, got[1].description, got[1].volume, got[1].color, got[1].finish) == ("M2", "late", "2,5 L", "rouge", "mat")
+    assert (got[2].brand, got[2].description, got[2].weight) == ("B", "d", "4 kg") and got[3].brand is None
+    named = spark.createDataFrame([(1, "Scie sauteuse 18V", None), (2, "scie égoïne", None), (3, "Vernis", 8), (4, "truc", None), (5, None, None), (6, "objet", None)], "id long, name string, category_id long")
+    listings = spark.createDataFrame([(1, 4, None), (2, 4, "Outils > Marteaux"), (3, 6, "Outils > Marteaux")], "id long, product_id long, category_path string")
+    slugs = spark.createDataFrame([(10, "outillage-main"), (11, "outillage-main"), (12, "outillage")], "id long, slug string")
+    assert {r.id: r.category_id for r in linkage.categorize(named, listings, slugs).collect()} == {1: None, 2: 11, 4: None, 5: None, 6: 11}
+
+
+def test_sources_of_pages(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.xml.gz").write_bytes(gzip.compress("<urlset><url><loc>https://x.example/é</loc></url></urlset>".encode()))
+    (tmp_path / "b.xml").write_bytes(b"<loc>https://x.example/b</loc>\xff")
+    texts = {r.path.rsplit("/", 1)[1]: r.text for r in pages.read_files(spark, str(tmp_path)).collect()}
+    assert "/é</loc>" in texts["a.xml.gz"] and texts["b.xml"].endswith("�")
+    captures = [("u", b"old", DAY), ("u", gzip.compress(b"new"), DAY + timedelta(hours=20)), ("u", b"future", DAY + timedelta(hours=30)), ("v", b"stale", DAY - timedelta(days=2)), ("w", None, DAY + timedelta(hours=23))]
+    got = pages.captured_pages(spark.createDataFrame(captures, "url string, body binary, fetched_at timestamp"), F.lit(DAY + timedelta(hours=24)), 24)
+    assert {r.url: r.text for r in got.collect()} == {"u": "new", "w": None}
+    raw = spark.createDataFrame([('{"name" : "N", "price": "12.5", "sku":"s"}',), ('"name":"N","price":0',), ("",), (None,)], "page string").select(*[c.alias(n) for n, c in pages.last_resort(F.col("page")).items()])
+    assert [tuple(r) for r in raw.collect()] == [("N", "s", Decimal("12.50"))] + [(None, None, None)] * 3
+    rule = pages.UrlRule(ends=".html", least_slashes=3, most_slashes=3, figures=4)
+    assert values(spark, ["https://x.example/a-1234.html", "https://x.example/c/a-1234.html", "https://x.example/a-12.html", None], rule.fits, "string") == [True, False, False, None]
+    page = "x categoryFilter: '0123456789abcdef0123456789abcdef0123', totalPages: 3"
+    assert [r.url for r in pages.further_pages(spark.createDataFrame([(1, page), (2, "none"), (3, None)], "id int, page string"), "page", "f={filter}&p={page}").orderBy("url").collect()] == [f"f=0123456789abcdef0123456789abcdef0123&p={i}" for i in (2, 3)]

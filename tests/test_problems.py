@@ -249,6 +249,9 @@ def test_satellite_append_and_edges(spark):
     assert sorted(r.id for r in base.collect()) == [1, 2]
     news = spark.createDataFrame([(1, DAY + timedelta(3), 0, 4, "x", None, "-"), (1, DAY + timedelta(4), 0, 5, "y", None, "-"), (2, DAY, 0, 6, None, None, "-"), (1, DAY, 0, 7, "late", 1, "-"), (None, DAY, 0, 8, "n", 1, "-")], schema)
     assert sorted(r.id for r in history.append(base, news, ["a", "b"]).collect()) == [5, 6]
+    # a late row hides no later one of its own values
+    more = spark.createDataFrame([(1, DAY, 0, 1, "z", 1, "-"), (1, DAY + timedelta(9), 0, 9, "z", 1, "-"), (1, DAY + timedelta(10), 0, 10, "z", 1, "-")], schema)
+    assert [r.id for r in history.append(base, more, ["a", "b"]).collect()] == [9]
     assert history.satellite(old.limit(0), ["a"]).count() == 0
 
 
