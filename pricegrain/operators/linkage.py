@@ -104,6 +104,12 @@ def _letters(texts: list[str], points: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return size, padded, counts.reshape(len(texts), len(points))
 
 
+def _bits(rows: np.ndarray) -> np.ndarray:
+    """Rows of truth values as 64-bit words."""
+    packed = np.packbits(rows, axis=1)
+    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8 or (8 if not packed.shape[1] else 0)))).view(np.uint64)
+
+
 def _lcs_pairs(where: np.ndarray, i: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
     """`_lcs` of many pairs at once: bit rows of 64-bit words with carry; `where` is [name, letter, word]."""
     words = where.shape[2]
@@ -128,8 +134,9 @@ def _lcs_pairs(where: np.ndarray, i: np.ndarray, y: np.ndarray, size: np.ndarray
 def similar(a: list[tuple[str, str]], b: list[tuple[str, str]], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, score) of all pairs of (canonical name, key fields) that are compatible and score `threshold` or more.
 
-    The letters two names share, each counted, bound their common subsequence: a product of 0/1 matrices gives the
-    bound of all pairs, and only pairs that can reach the threshold are scored. No pair is lost.
+    Left names with the same key fields meet only the right names whose fields are compatible. The letters two names
+    share, each counted, bound their common subsequence: as sets of bits their intersection gives the bound of all
+    these pairs, and only pairs that can reach the threshold are scored. No pair is lost.
     """
     names = [[" ".join(sorted(n.split())) for n, _ in side] for side in (a, b)]
     points = np.unique(np.frombuffer("".join(names[0] + names[1]).encode("utf-32-le"), dtype="<u4"))
@@ -137,28 +144,45 @@ def similar(a: list[tuple[str, str]], b: list[tuple[str, str]], threshold: float
     cap = np.minimum(ca.max(axis=0), cb.max(axis=0))
     letter = np.repeat(np.arange(len(points)), cap)
     nth = np.arange(len(letter)) - np.repeat(np.cumsum(cap) - cap, cap)
-    ua, ub = ((c[:, letter] > nth).astype(np.float32) for c in (ca, cb))
+    ua, ub = (_bits(c[:, letter] > nth) for c in (ca, cb))
     known: dict[str, int] = {"": 0}
     ka, kb = (np.array([[known.setdefault(x, len(known)) for x in k.split("\x1f")] for _, k in side]) for side in (a, b))
+    left_keys, left_of = np.unique(ka, axis=0, return_inverse=True)
+    right_keys, right_of = np.unique(kb, axis=0, return_inverse=True)
+    order = np.argsort(left_of.ravel(), kind="stable")
+    ends = np.cumsum(np.bincount(left_of.ravel(), minlength=len(left_keys)))
+    pairs = []
+    for k, key in enumerate(left_keys):
+        fits = ((right_keys == key) | (right_keys == 0) | (key == 0)).all(axis=1)
+        j = np.flatnonzero(fits[right_of.ravel()])
+        rows = order[ends[k - 1] if k else 0 : ends[k]]
+        step = max(1, 1_000_000 // max(1, len(j) * ub.shape[1]))
+        for start in range(0, len(rows) if len(j) else 0, step):
+            i = rows[start : start + step]
+            shared = np.bitwise_count(ua[i][:, None, :] & ub[j][None, :, :]).sum(axis=2, dtype=np.int64)
+            p, q = np.nonzero(200.0 * shared >= threshold * (la[i][:, None] + lb[j][None, :]))
+            pairs.append((i[p], j[q]))
+    empty = np.zeros(0, dtype=np.int64)
+    if not pairs:
+        return empty, empty, empty.astype(float)
+    i, j = (np.concatenate(c) for c in zip(*pairs, strict=True))
+    by_left = np.argsort(i, kind="stable")
+    i, j = i[by_left], j[by_left]
+    words = -(-int(la.max()) // 64)
+    step = max(1, 32_000_000 // (8 * words * (len(points) + 1)))  # left names whose bit rows are held at once
     out = []
-    for start in range(0, len(a), 256):
-        part = slice(start, start + 256)
-        bound = ua[part] @ ub.T
-        i, j = np.nonzero(200.0 * bound >= threshold * (la[part][:, None] + lb[None, :]))
-        x, y = ka[part][i], kb[j]
-        fits = ((x == y) | (x == 0) | (y == 0)).all(axis=1)
-        i, j = i[fits], j[fits]
-        words = -(-int(la[part].max()) // 64)
-        where = np.zeros((len(la[part]), len(points) + 1, words), dtype=np.uint64)
-        for t in range(int(la[part].max())):
-            where[np.arange(len(where)), xa[part][:, t], t // 64] |= np.uint64(1 << t % 64)
+    for start in range(0, len(a), step):
+        size, letters = la[start : start + step], xa[start : start + step]
+        where = np.zeros((len(size), len(points) + 1, words), dtype=np.uint64)
+        for t in range(int(size.max())):
+            where[np.arange(len(where)), letters[:, t], t // 64] |= np.uint64(1 << t % 64)
         where[:, len(points)] = 0
-        for at in range(0, len(i), 100_000):
-            p, q = i[at : at + 100_000], j[at : at + 100_000]
-            value = 200.0 * _lcs_pairs(where, p, xb[q][:, : int(lb[q].max())], la[part]) / (la[part][p] + lb[q])
+        lo, hi = np.searchsorted(i, [start, start + step])
+        for at in range(lo, hi, 100_000):
+            p, q = i[at : min(hi, at + 100_000)], j[at : min(hi, at + 100_000)]
+            value = 200.0 * _lcs_pairs(where, p - start, xb[q][:, : int(lb[q].max())], size) / (la[p] + lb[q])
             good = value >= threshold
-            out.append((p[good] + start, q[good], value[good]))
-    empty = np.zeros(0, dtype=np.int64)
+            out.append((p[good], q[good], value[good]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (empty, empty, empty.astype(float))
 
 
