@@ -107,7 +107,8 @@ def _letters(texts: list[str], points: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _bits(rows: np.ndarray) -> np.ndarray:
     """Rows of truth values as 64-bit words."""
     packed = np.packbits(rows, axis=1)
-    return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8 or (8 if not packed.shape[1] else 0)))).view(np.uint64)
+    more = -packed.shape[1] % 8 if packed.shape[1] else 8
+    return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, more)))).view(np.uint64)
 
 
 def _lcs_pairs(where: np.ndarray, i: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
