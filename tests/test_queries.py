@@ -24,7 +24,10 @@ def test_same_as_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, FOLDER).count() >= 0
+    df = QUERIES[name](spark, FOLDER)
+    assert len(set(df.columns)) == len(df.columns) > 0
+    # the smallest tables leave nothing without a unit, and no name to compare
+    assert df.count() > 0 or name in ("p2_review", "fix_by_name")
 
 
 def test_entry(spark):
