@@ -132,6 +132,37 @@ def _lcs_pairs(where: np.ndarray, i: np.ndarray, y: np.ndarray, size: np.ndarray
     return np.bitwise_count(~row & used).sum(axis=0).astype(np.int64)
 
 
+def _by_key(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, rows in their order, where each key's rows begin, how many they are)."""
+    distinct, of = np.unique(keys, axis=0, return_inverse=True)
+    n = np.bincount(of.ravel(), minlength=len(distinct))
+    return distinct, np.argsort(of.ravel(), kind="stable"), np.cumsum(n) - n, n
+
+
+def _compatible(a: np.ndarray, b: np.ndarray, at_once: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of keys without a field that both have and that differs, a bounded number compared at once."""
+    step = max(1, at_once // max(1, len(b)))
+    for start in range(0, len(a), step):
+        fits = np.ones((len(a[start : start + step]), len(b)), dtype=bool)
+        for f in range(a.shape[1]):
+            x, y = a[start : start + step, f][:, None], b[:, f][None, :]
+            fits &= (x == y) | (x == 0) | (y == 0)
+        u, v = np.nonzero(fits)
+        yield u + start, v
+
+
+def _members(u: np.ndarray, v: np.ndarray, left: tuple, right: tuple, at_once: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of pairs of keys, about `at_once` at a time (more only where two keys alone have more)."""
+    (_, rows_a, from_a, n_a), (_, rows_b, from_b, n_b) = left, right
+    counts = n_a[u] * n_b[v]
+    part = (np.cumsum(counts) - counts) // at_once
+    for piece in np.split(np.arange(len(u)), np.flatnonzero(np.diff(part)) + 1):
+        n = counts[piece]
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        wide = np.repeat(n_b[v[piece]], n)
+        yield rows_a[np.repeat(from_a[u[piece]], n) + nth // np.maximum(wide, 1)], rows_b[np.repeat(from_b[v[piece]], n) + nth % np.maximum(wide, 1)]
+
+
 def similar(a: list[tuple[str, str]], b: list[tuple[str, str]], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, score) of all pairs of (canonical name, key fields) that are compatible and score `threshold` or more.
 
@@ -148,21 +179,13 @@ def similar(a: list[tuple[str, str]], b: list[tuple[str, str]], threshold: float
     ua, ub = (_bits(c[:, letter] > nth) for c in (ca, cb))
     known: dict[str, int] = {"": 0}
     ka, kb = (np.array([[known.setdefault(x, len(known)) for x in k.split("\x1f")] for _, k in side]) for side in (a, b))
-    left_keys, left_of = np.unique(ka, axis=0, return_inverse=True)
-    right_keys, right_of = np.unique(kb, axis=0, return_inverse=True)
-    order = np.argsort(left_of.ravel(), kind="stable")
-    ends = np.cumsum(np.bincount(left_of.ravel(), minlength=len(left_keys)))
+    left, right = _by_key(ka), _by_key(kb)
     pairs = []
-    for k, key in enumerate(left_keys):
-        fits = ((right_keys == key) | (right_keys == 0) | (key == 0)).all(axis=1)
-        j = np.flatnonzero(fits[right_of.ravel()])
-        rows = order[ends[k - 1] if k else 0 : ends[k]]
-        step = max(1, 1_000_000 // max(1, len(j) * ub.shape[1]))
-        for start in range(0, len(rows) if len(j) else 0, step):
-            i = rows[start : start + step]
-            shared = np.bitwise_count(ua[i][:, None, :] & ub[j][None, :, :]).sum(axis=2, dtype=np.int64)
-            p, q = np.nonzero(200.0 * shared >= threshold * (la[i][:, None] + lb[j][None, :]))
-            pairs.append((i[p], j[q]))
+    for u, v in _compatible(left[0], right[0]):
+        for i, j in _members(u, v, left, right):
+            shared = np.bitwise_count(ua[i] & ub[j]).sum(axis=1, dtype=np.int64)
+            near = 200.0 * shared >= threshold * (la[i] + lb[j])
+            pairs.append((i[near], j[near]))
     empty = np.zeros(0, dtype=np.int64)
     if not pairs:
         return empty, empty, empty.astype(float)
