@@ -289,9 +289,11 @@ def greedy(listings: DataFrame, products: DataFrame, threshold: float = THRESHOL
 
 def incompatible(listings: DataFrame, products: DataFrame) -> DataFrame:
     """(listing_id, product_id) of products with more than three listings where the key fields of the names differ."""
-    many = listings.filter("product_id is not null").groupBy("product_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 3")
+    many = listings.filter("product_id is not null").groupBy("product_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 3").select("product_id")
     names = products.select(F.col("id").alias("product_id"), S.key_specs(F.col("name")).alias("of_product")).join(many, "product_id", "left_semi")
-    rows = listings.select(F.col("id").alias("listing_id"), "product_id", S.key_specs(F.col("store_product_name")).alias("of_listing")).join(names, "product_id")
+    # fields are read from the names of these products' listings only
+    own = listings.join(many, "product_id", "left_semi")
+    rows = own.select(F.col("id").alias("listing_id"), "product_id", S.key_specs(F.col("store_product_name")).alias("of_listing")).join(names, "product_id")
     return rows.filter(~S.compatible(F.col("of_listing"), F.col("of_product"))).select("listing_id", "product_id")
 
 
