@@ -112,13 +112,14 @@ def import_feed(listings: DataFrame, stores: DataFrame, feed: DataFrame, chain:
     Feed rows (`row`, the order, and the twelve feed fields) without name or price are skipped. A row with a sku meets
     the listing of that sku: another price replaces the listing's; of several rows of one sku the last price stays,
     and of a new sku the first row is the listing. A row without sku is always a new listing. Names are cut to 255,
-    skus to 50, EANs to 13. action is kept, updated or inserted; the price history is not written.
+    skus to 50, EANs to 13. action is kept, updated or inserted; the price history is not written. Prices are rounded to
+    cents and keep the digits of the feed's own type, so one that the listings' column has no room for comes out as it is.
     """
     found = stores.filter(F.col("chain") == chain).agg(F.min("id")).head()[0]
     store = found if found is not None else (stores.agg(F.max("id")).head()[0] or 0) + 1
     cut = lambda c, n: F.substring(c, 1, n)
     rows = feed.filter("name is not null and price is not null").select(
-        "row", cut("name", 255).alias("name"), F.nullif(cut("sku", 50), F.lit("")).alias("sku"), F.nullif(cut("ean", 13), F.lit("")).alias("ean"), F.col("price").cast("decimal(10,2)").alias("price")
+        "row", cut("name", 255).alias("name"), F.nullif(cut("sku", 50), F.lit("")).alias("sku"), F.nullif(cut("ean", 13), F.lit("")).alias("ean"), F.round("price", 2).alias("price")
     )
     keyed = rows.filter("sku is not null").groupBy("sku").agg(F.min_by(F.struct("name", "ean"), "row").alias("first"), F.max_by("price", "row").alias("price"))
     own = listings.filter(F.col("store_id") == store).select("id", F.col("store_sku").alias("sku"), "store_product_name", "store_ean", "current_price")

@@ -181,7 +181,8 @@ _OFFERS = """SELECT l.id AS row, l.store_product_name AS name, l.store_sku AS sk
 
 
 def _feed_rows(s, d):
-    price = F.when(F.col("current_price") > 0, F.col("current_price") + F.when(F.col("id") % 3 == 0, 1).otherwise(0)).cast("decimal(10,2)")
+    # one more than the largest price of the column has a digit more than the column: the sum keeps its own type
+    price = F.when(F.col("current_price") > 0, F.col("current_price") + F.when(F.col("id") % 3 == 0, 1).otherwise(0))
     return table(s, d, "store_listings").select(F.col("id").alias("row"), F.col("store_product_name").alias("name"), F.col("store_sku").alias("sku"), F.col("store_ean").alias("ean"), price.alias("price"))
 
 

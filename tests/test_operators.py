@@ -246,6 +246,22 @@ def test_feeds_and_copies(spark):
     assert {r.shard for r in flows.shard(spark.createDataFrame([(1,), (2,)], "id long"), "id", 4).collect()} == {0, 1}
 
 
+def _limit_offers(spark, folder):
+    """Listings at the largest price of their column, with and without sku; every third offer of the feed costs one more."""
+    schema = "id long, store_id long, store_sku string, store_product_name string, store_ean string, current_price decimal(10,2)"
+    listings = [(3, 2, "a", "A", None, Decimal("99999999.99")), (4, 2, "b", "B", None, Decimal("99999999.99")), (6, 2, None, "C", None, Decimal("99999999.99")), (9, 2, "d", "D", None, Decimal("0.00"))]
+    spark.createDataFrame(listings, schema).write.parquet(f"{folder}/store_listings.parquet")
+    spark.createDataFrame([(2, "shop"), (3, "zoo")], "id long, chain string").write.parquet(f"{folder}/stores.parquet")
+
+
+def test_a_feed_price_larger_than_the_listings_column(spark, tmp_path):
+    from pricegrain.plans import flows as plans
+
+    _limit_offers(spark, tmp_path)
+    got = sorted((r.id or 0, r.sku or "", r.name, r.action, str(r.price), r.store_id) for r in plans.feed_import(spark, str(tmp_path)).collect())
+    assert got == [(0, "", "C", "inserted", "100000000.99", 2), (3, "a", "A", "updated", "100000000.99", 2), (4, "b", "B", "kept", "99999999.99", 2), (6, "", "C", "kept", "99999999.99", 2), (9, "d", "D", "kept", "0.00", 2)]
+
+
 def test_propagation_and_categories(spark):
     from pricegrain.operators import flows
 
