@@ -262,6 +262,14 @@ def test_a_feed_price_larger_than_the_listings_column(spark, tmp_path):
     assert got == [(0, "", "C", "inserted", "100000000.99", 2), (3, "a", "A", "updated", "100000000.99", 2), (4, "b", "B", "kept", "99999999.99", 2), (6, "", "C", "kept", "99999999.99", 2), (9, "d", "D", "kept", "0.00", 2)]
 
 
+def test_a_new_chain_takes_prices_larger_than_the_listings_column(spark, tmp_path):
+    from pricegrain.plans import flows as plans
+
+    _limit_offers(spark, tmp_path)
+    got = sorted((r.id, r.sku or "", r.name, r.action, str(r.price), r.store_id) for r in plans.feed_import_new_chain(spark, str(tmp_path)).collect())
+    assert got == [(None, "", "C", "inserted", "100000000.99", 4), (None, "a", "A", "inserted", "100000000.99", 4), (None, "b", "B", "inserted", "99999999.99", 4)]
+
+
 def test_propagation_and_categories(spark):
     from pricegrain.operators import flows
 
