@@ -206,6 +206,36 @@ def test_spikes_on_empty_tables(spark):
     assert spikes.flag_prices(spark.createDataFrame([], HISTORY), spark.createDataFrame([], LISTINGS)).count() == 0
 
 
+@pytest.mark.parametrize("hot_rows", [10**9, 20])
+def test_cases_are_found_without_a_fit(spark, monkeypatch, hot_rows):
+    from pricegrain.plans import problems
+
+    def fitted(*_):
+        raise AssertionError("the fit decides no case")
+
+    monkeypatch.setattr(spikes, "tail_cutoffs", fitted)
+    monkeypatch.setattr(hot, "HOT_SHARE", 0.0)
+    monkeypatch.setattr(hot, "BLOCK_ROWS", 40)
+    rows, listings = prices()
+    got = spikes.find_cases(spark.createDataFrame(rows, HISTORY), spark.createDataFrame(listings, LISTINGS), hot_rows=hot_rows)
+    assert sorted((r.record_kind, r.record_id) for r in got.collect()) == sorted(brute_cases(rows, listings))
+    assert problems.p3_found(spark, "/root/testdata/sf0.001").count() > 0
+    assert spikes.find_cases(spark.createDataFrame([], HISTORY), spark.createDataFrame([], LISTINGS)).count() == 0
+
+
+def test_the_cutoff_decides_what_is_unusual(spark):
+    rng = random.Random(8)
+    history, listings = [], [(i, i % 2, d(100), DAY, 0) for i in range(1, 41)]
+    for i in range(20_000):
+        listing = 1 + i % 40
+        history.append((i, listing, d(round(100 * 2.718281828 ** (rng.choice([-1, 1]) * rng.expovariate(25 if listing % 2 else 10)), 2)), DAY + timedelta(hours=i), "", 0))
+    history += [(50_000 + i, 1 + i, d(160), DAY + timedelta(hours=i, minutes=1), "", 0) for i in range(40)]
+    flagged = lambda rules: spikes.flag_prices(spark.createDataFrame(history, HISTORY), spark.createDataFrame(listings, LISTINGS), rules).filter("tail and not is_case and record_id >= 50000")
+    # 160 is unusual where prices move by a twenty-fifth, and not where they move by a tenth, unless the risk is larger
+    assert {r.record_id % 2 for r in flagged(spikes.SpikeRules()).collect()} == {0} and flagged(spikes.SpikeRules()).count() == 20
+    assert flagged(spikes.SpikeRules(risk=0.02)).count() == 40
+
+
 def brute_versions(rows, listings):
     by = defaultdict(dict)
     for i, k, p, t, *_ in rows:
