@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,16 +114,18 @@ def import_feed(listings: DataFrame, stores: DataFrame, feed: DataFrame, chain:
     the listing of that sku: another price replaces the listing's; of several rows of one sku the last price stays,
     and of a new sku the first row is the listing. A row without sku is always a new listing. Names are cut to 255,
     skus to 50, EANs to 13. action is kept, updated or inserted; the price history is not written. Prices are rounded to
-    cents and keep the digits of the feed's own type, so one that the listings' column has no room for comes out as it is.
+    cents and keep the digits of the feed's own type, so one that the listings' column has no room for comes out as it is;
+    store_id is long, or decimal where one above the largest id is more than a long holds.
     """
     found = stores.filter(F.col("chain") == chain).agg(F.min("id")).head()[0]
-    store = found if found is not None else (stores.agg(F.max("id")).head()[0] or 0) + 1
+    store = int(found if found is not None else (stores.agg(F.max("id")).head()[0] or 0) + 1)
+    own_id = F.lit(store).cast("long") if store < 2**63 else F.lit(Decimal(store)).cast("decimal(20,0)")
     cut = lambda c, n: F.substring(c, 1, n)
     rows = feed.filter("name is not null and price is not null").select(
         "row", cut("name", 255).alias("name"), F.nullif(cut("sku", 50), F.lit("")).alias("sku"), F.nullif(cut("ean", 13), F.lit("")).alias("ean"), F.round("price", 2).alias("price")
     )
     keyed = rows.filter("sku is not null").groupBy("sku").agg(F.min_by(F.struct("name", "ean"), "row").alias("first"), F.max_by("price", "row").alias("price"))
-    own = listings.filter(F.col("store_id") == store).select("id", F.col("store_sku").alias("sku"), "store_product_name", "store_ean", "current_price")
+    own = listings.filter(F.col("store_id") == own_id).select("id", F.col("store_sku").alias("sku"), "store_product_name", "store_ean", "current_price")
     both = own.join(keyed, "sku", "full")
     new = F.col("id").isNull()
     moved = F.col("price").isNotNull() & ~F.col("price").eqNullSafe(F.col("current_price"))
@@ -131,7 +134,7 @@ def import_feed(listings: DataFrame, stores: DataFrame, feed: DataFrame, chain:
         F.when(moved, F.col("price")).otherwise(F.col("current_price")).alias("price"), F.when(new, "inserted").when(moved, "updated").otherwise("kept").alias("action"),
     )
     bare = rows.filter("sku is null").select(F.lit(None).cast("long").alias("id"), "sku", "name", "ean", "price", F.lit("inserted").alias("action"))
-    return met.unionByName(bare).withColumn("store_id", F.lit(store).cast("long"))
+    return met.unionByName(bare).withColumn("store_id", own_id)
 
 
 def copy_rows(target: DataFrame, source: DataFrame, key: str, casts: dict[str, str]) -> tuple[DataFrame, DataFrame]:

@@ -270,6 +270,20 @@ def test_a_new_chain_takes_prices_larger_than_the_listings_column(spark, tmp_pat
     assert got == [(None, "", "C", "inserted", "100000000.99", 4), (None, "a", "A", "inserted", "100000000.99", 4), (None, "b", "B", "inserted", "99999999.99", 4)]
 
 
+def test_a_new_chain_beside_the_largest_store_id(spark, tmp_path):
+    from pricegrain.plans import flows as plans
+
+    schema = "id long, store_id long, store_sku string, store_product_name string, store_ean string, current_price decimal(10,2)"
+    for at, (largest, kind) in {"long": (2**63 - 2, "bigint"), "more": (2**63 - 1, "decimal(20,0)")}.items():
+        folder = f"{tmp_path}/{at}"
+        spark.createDataFrame([(1, largest, "a", "A", "1", Decimal("1.00")), (3, 2, None, "B", None, Decimal("2.00"))], schema).write.parquet(f"{folder}/store_listings.parquet")
+        spark.createDataFrame([(2, "shop"), (largest, "zoo")], "id long, chain string").write.parquet(f"{folder}/stores.parquet")
+        rows = plans.feed_import_new_chain(spark, folder)
+        assert dict(rows.dtypes)["store_id"] == kind
+        got = sorted((r.id, r.sku or "", r.name, r.ean, r.action, str(r.price), int(r.store_id)) for r in rows.collect())
+        assert got == [(None, "", "B", None, "inserted", "3.00", largest + 1), (None, "a", "A", "1", "inserted", "1.00", largest + 1)]
+
+
 def test_propagation_and_categories(spark):
     from pricegrain.operators import flows
 
